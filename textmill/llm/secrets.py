@@ -125,6 +125,10 @@ def _spans(scanned: DataFrame, example_owners: int, example_repos: int) -> DataF
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_live", "n_example")})
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def _owned(docs: DataFrame, text_col: str, owner_col: str, repo_cols: tuple[str, ...], **more) -> DataFrame:
     repo = F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in repo_cols])
     return own(docs, text=text_col, owner=F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("")), repo=repo, **more)
@@ -140,7 +144,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """
     scanned = _scanned(with_uid(_owned(docs, text_col, owner_col, repo_cols, id=id_col))).drop("text")
     out = _spans(stash(scanned, "secrets"), example_owners, example_repos)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    counts = [_of_kind(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return out.select(F.col("id").alias(id_col), *counts, _plain(F.col("base")).alias("base"), "spans", "n_live", "n_example")
 
 
