@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import chat, langid, mixing, packing, secrets, simhash, topk, urlfilter
+from textmill.llm import chat, langid, mixing, packing, quality_classifier, quality_rules, secrets, simhash, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_url_filter"] = urlfilter.oracle_sql()
+
+
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
