@@ -104,11 +104,14 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, penalty: float
     sp, su = p2 @ w + b, u2 @ w + b
     cuts = np.quantile(sp, np.linspace(0.02, 0.9, 45))
     slack = np.sqrt(1 / len(p2)) + np.sqrt(1 / len(u2))
-    upper = [((su >= c).mean() + slack * 0.5) / max((sp >= c).mean(), 1e-9) for c in cuts if (sp >= c).mean() > 0.1]
-    return float(np.clip(min(upper, default=0.5), 0.05, 0.99))
+    shares = [((su >= c).mean(), (sp >= c).mean()) for c in cuts]
+    # The cut with the least upper confidence bound.  The lower side of its ratio is taken:
+    # a prior too high lets the non-negative risk pass all negatives over.
+    best = min((x for x in shares if x[1] > 0.1), key=lambda x: (x[0] + slack) / x[1], default=(0.5, 1.0))
+    return float(np.clip(best[0] / best[1] - slack / 2, 0.05, 0.99))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, penalty: float = 1e-4, rounds: int = 600) -> Model:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, penalty: float = 1e-4, rounds: int = 800) -> Model:
     """A linear model that minimises the non-negative unbiased risk with the logistic loss."""
     mean = unlabelled.mean(0)
     scale = np.maximum(unlabelled.std(0), 0.02)
