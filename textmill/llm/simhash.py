@@ -102,26 +102,28 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def forest(points: np.ndarray, most: int, tile: int = 2048) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, compared tile by tile."""
-    root = np.arange(len(points))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out, codes = [], unary(embed(points))
-    for i in range(0, len(points), tile):
-        for j in range(i, len(points), tile):
-            near = np.bitwise_count(codes[i : i + tile, None] ^ codes[None, j : j + tile]) <= most
-            for a, b in zip(*np.nonzero(near), strict=True):
-                a, b = i + a, j + b
-                if a < b and int(points[a] ^ points[b]).bit_count() <= most and (x := find(a)) != (y := find(b)):
-                    root[max(x, y)] = min(x, y)
-                    out.append((int(points[a]), int(points[b])))
-    return out
+def forest(points: np.ndarray, most: int, tile: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints, as two arrays of ends.
+
+    A search from each point not yet reached: up to ``tile`` reached points meet all those
+    left at once, first by the Manhattan bound, then exactly.  Every link found reaches a new point.
+    """
+    codes, left = unary(embed(points)), np.arange(len(points))
+    us, vs = [], []
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            near, reached = np.array(reached[:tile]), reached[tile:]
+            a, b = np.nonzero(np.bitwise_count(codes[near][:, None] ^ codes[left][None, :]) <= most)
+            exact = np.bitwise_count(points[near[a]] ^ points[left[b]]) <= most
+            b, first = np.unique(b[exact], return_index=True)
+            if len(b):
+                us.append(points[near[a[exact][first]]])
+                vs.append(points[left[b]])
+                reached.extend(left[b])
+                left = np.delete(left, b)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
 def _cell_links(most: int):
@@ -129,28 +131,37 @@ def _cell_links(most: int):
         """Rows come sorted by cell; a cell's points are complete once another cell begins."""
         held: list[np.ndarray] = []
         key = None
-
-        def done() -> pd.DataFrame:
-            points = np.concatenate(held).view(np.uint64)
-            return pd.DataFrame(forest(points, most) if len(points) > 1 else [], columns=["u", "v"], dtype=np.uint64)
+        us: list[np.ndarray] = []
+        vs: list[np.ndarray] = []
+
+        def close() -> None:
+            points = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            if len(points) > 1:
+                u, v = forest(points, most)
+                us.append(u)
+                vs.append(v)
+            held.clear()
+
+        def found() -> pd.DataFrame:
+            u, v = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (us, vs))
+            us.clear()
+            vs.clear()
+            return pd.DataFrame({"u": u, "v": v})
 
         for pdf in cells:
-            kinds, names, fps = (pdf[c].to_numpy(np.int64) for c in ("cell_kind", "cell", "fp"))
+            kinds, names = pdf["cell_kind"].to_numpy(np.int64), pdf["cell"].to_numpy(np.int64)
+            fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
             cuts = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(names) != 0)) + 1
-            found = []
             for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
                 if a == b:
                     continue
                 if (kinds[a], names[a]) != key:
-                    if held and sum(map(len, held)) > 1:
-                        found.append(done())
-                    held, key = [], (kinds[a], names[a])
+                    close()
+                    key = (kinds[a], names[a])
                 held.append(fps[a:b])
-            out = pd.concat(found) if found else pd.DataFrame({"u": [], "v": []})
-            yield pd.DataFrame({c: out[c].to_numpy(np.uint64).view(np.int64) for c in ("u", "v")})
-        if held and sum(map(len, held)) > 1:
-            out = done()
-            yield pd.DataFrame({c: out[c].to_numpy(np.uint64).view(np.int64) for c in ("u", "v")})
+            yield found()
+        close()
+        yield found()
 
     return links
 
