@@ -55,18 +55,24 @@ def _linked(nodes: DataFrame) -> DataFrame:
     return stash(met.select(UID, "up", "conv", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "chat-links")
 
 
-def _jumps(linked: DataFrame) -> list[DataFrame]:
-    """Tables (uid, up, total, depth): the ancestor 2^k above, with score and size of the path below it."""
+def _jumps(linked: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Doubling steps up the trees.
+
+    First, for each k, (uid, up): the ancestor 2^k above, of the nodes that have one.  Then
+    (uid, total, depth): score and length of the whole path down from the root.  A round joins only
+    nodes whose path goes on; those at their root are kept aside with their totals.
+    """
     now = linked.select(UID, "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    steps, most = [], linked.count()
+    steps, most, done = [], linked.count(), None
     while True:
-        steps.append(now)
-        if now.where("up IS NOT NULL").isEmpty() or 1 << len(steps) > 2 * most:
-            return steps
-        far = now.select(F.col(UID).alias("far"), F.col("up").alias("far_up"), F.col("total").alias("far_total"), F.col("depth").alias("far_depth"))
-        met = now.join(far, F.col("up") == F.col("far"), "left")
-        total = F.col("total") + F.coalesce("far_total", F.lit(0.0))
-        now = stash(met.select(UID, F.col("far_up").alias("up"), total.alias("total"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth")), "chat-jumps")
+        ended, open_ = now.where("up IS NULL"), now.where("up IS NOT NULL")
+        done = ended if done is None else done.unionAll(ended)
+        if open_.isEmpty() or 1 << len(steps) > 2 * most:
+            return steps, done.drop("up")
+        steps.append(open_.select(UID, "up"))
+        far = open_.unionAll(done).select(F.col(UID).alias("far"), F.col("up").alias("far_up"), F.col("total").alias("far_total"), F.col("depth").alias("far_depth"))
+        met = open_.join(far, F.col("up") == F.col("far"))
+        now = stash(met.select(UID, F.col("far_up").alias("up"), (F.col("total") + F.col("far_total")).alias("total"), (F.col("depth") + F.col("far_depth")).alias("depth")), "chat-jumps")
 
 
 def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
@@ -77,8 +83,7 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     nodes whose parent is unknown, begin paths; nodes on or below a cycle have no root and so no path.
     """
     linked = _linked(nodes)
-    steps = _jumps(linked)
-    whole = steps[-1].where("up IS NULL").select(UID, "total", "depth")
+    steps, whole = _jumps(linked)
     parents = linked.where("up IS NOT NULL").select(F.col("up").alias(UID)).distinct()
     leaves = linked.select(UID, "conv").join(whole, UID).join(parents, UID, "left_anti")
     best = (F.desc("branch_score"), F.desc("depth"), F.asc(UID))
@@ -87,8 +92,8 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv", "part").orderBy(*best))).where(F.col("rank") <= top)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(*best))).where(F.col("rank") <= top)
     path = stash(ranked.select(F.col(UID).alias("leaf"), F.col("rank").alias("branch"), "branch_score", "depth", F.col(UID).alias("at"), F.lit(0).cast("long").alias("back")), "chat-paths")
-    for k in range(len(steps) - 2, -1, -1):
-        up = steps[k].where("up IS NOT NULL").select(F.col(UID).alias("at"), "up")
+    for k in range(len(steps) - 1, -1, -1):
+        up = steps[k].select(F.col(UID).alias("at"), "up")
         higher = path.join(up, "at").select("leaf", "branch", "branch_score", "depth", F.col("up").alias("at"), (F.col("back") + (1 << k)).alias("back"))
         path = path.unionByName(higher)
         if k % 4 == 0:
