@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.scratch import own, stash
 
-QUERY_TILE, TILE, FAN_IN = 1024, 4096, 16
+QUERY_TILE, TILE, FAN_IN = 1024, 2048, 16
 _TILE = "tile long, dim int, ids binary, matrix binary"
 _LISTS = "query_tile long, shard long, query_ids binary, ids binary, scores binary, k int"
 
@@ -27,32 +27,18 @@ def scaled(vector: Column, scale: int) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
-def _pack(rows_each: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of one partition -> tiles of one dimension each."""
-        open_: dict[int, tuple[list, list]] = {}
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one tile and dimension, as one row."""
+    matrix = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), key[1])
+    return pd.DataFrame({"tile": [key[0]], "dim": [key[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]})
 
-        def tile(dim: int) -> pd.DataFrame:
-            ids, rows = open_.pop(dim)
-            matrix = np.array(rows, np.int64).reshape(len(ids), dim)
-            return pd.DataFrame({"tile": [0], "dim": [dim], "ids": [np.array(ids, np.int64).tobytes()], "matrix": [matrix.tobytes()]})
 
-        for pdf in batches:
-            for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                ids, rows = open_.setdefault(len(v), ([], []))
-                ids.append(i)
-                rows.append(v)
-                if len(ids) >= rows_each:
-                    yield tile(len(v))
-        for dim in list(open_):
-            yield tile(dim)
-
-    return pack
-
-
-def _tiles(rows: DataFrame, rows_each: int, name: str) -> DataFrame:
-    packed = stash(rows.mapInPandas(_pack(rows_each), _TILE), f"{name}-packed")
-    return stash(packed.withColumn("tile", F.monotonically_increasing_id()), name)
+def _tiles(rows: DataFrame, rows_each: int, name: str) -> tuple[DataFrame, int]:
+    """Rows dealt by a hash of their number into tiles of about ``rows_each``, and the number of tiles."""
+    held = stash(rows.withColumn("n", F.monotonically_increasing_id()), f"{name}-rows")
+    many = max(1, -(-held.count() // rows_each))
+    dealt = held.withColumn("tile", F.pmod(F.xxhash64("n"), F.lit(many))).withColumn("dim", F.size("v"))
+    return stash(dealt.select("tile", "dim", "id", "v").groupBy("tile", "dim").applyInPandas(_pack, _TILE), name), many
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -140,20 +126,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = own(vectors, id=id_col, v=scaled(F.col(f"`{vector_col}`"), scale), q=F.coalesce(is_query, F.lit(False)))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    shards = _tiles(rows.select("id", "v"), tile, "tiles")
-    queries = _tiles(asked, query_tile, "query-tiles")
+    shards, n_shards = _tiles(rows.select("id", "v"), tile, "tiles")
+    queries, n_queries = _tiles(asked, query_tile, "query-tiles")
     wanted = queries.select(F.col("tile").alias("query_tile"), "dim", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
-    n_shards, n_queries = shards.count(), queries.count()
     parts = max(1, min(n_shards * n_queries, 10_000))
     # Tiles, not rows, meet: as many pairs as the matrix products that the answer is made of.
     names = shards.select("tile", "dim").join(wanted.select("query_tile", "dim"), "dim")
     pairs = names.join(shards.drop("dim"), "tile").join(wanted.drop("dim"), "query_tile")
     lists = stash(pairs.repartition(parts, "query_tile", "tile").mapInPandas(_meet(k), _LISTS), "top-lists")
-    groups = -(-2 * n_shards // FAN_IN)
-    into = F.pmod(F.xxhash64("shard"), F.lit(max(1, groups)))
     while n_shards > 1:
-        lists = lists.withColumn("shard", into).groupBy("query_tile", "shard").applyInPandas(_merge, _LISTS)
-        n_shards, groups, into = groups, -(-groups // FAN_IN), F.floor(F.col("shard") / FAN_IN)
+        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN)).groupBy("query_tile", "shard").applyInPandas(_merge, _LISTS)
+        n_shards = -(-n_shards // FAN_IN)
     return lists.mapInPandas(_rows, "query_id long, rank int, vec_id long, score long")
 
 
