@@ -1 +1 @@
-
+"""Pure Column -> Column functions; all run inside Catalyst."""

@@ -1 +1 @@
-
+"""Relational operators on segments, rectangles, caches and reports."""
