@@ -1,10 +1,5 @@
 """Whole queries over the driver's tables, each with its SQL twin."""
 
-from __future__ import annotations
+from textmill.plans.catalogue import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
