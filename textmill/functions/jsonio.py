@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.config import base_language, script_class
@@ -28,7 +29,6 @@ def embedded_object(text: Column) -> Column:
 
     Trying each opening brace needs a decoder that stops where a value ends.
     """
-    import pandas as pd
 
     @F.pandas_udf("string")
     def found(texts: pd.Series) -> pd.Series:
@@ -48,7 +48,8 @@ def embedded_object(text: Column) -> Column:
 
         return pd.Series([first(t) for t in texts], dtype=object)
 
-    return found(text)
+    # Kept apart from later expressions: a Python function can't run inside a higher-order one.
+    return found.asNondeterministic()(text)
 
 
 def decode_object(raw: Column) -> Column:
@@ -86,9 +87,15 @@ def _has(text: Column, lang: str) -> Column:
     return text.rlike(r"[\p{L}]" if base_language(lang) in ("", "auto", "unknown", "und") else f"[{script_class(lang)}]")
 
 
-def regions(raw: Column, source_lang: str, target_lang: str) -> Column:
-    """Clean, distinct regions of an answer, by top edge, then left edge."""
-    parsed = F.slice(F.from_json(decode_object(raw), f"struct<regions: array<{_RAW}>>")["regions"], 1, MOST_REGIONS)
+def with_regions(df: DataFrame, raw: str, source_lang: str, target_lang: str, name: str = "regions") -> DataFrame:
+    """Adds the regions of the answers in a column."""
+    told = df.withColumn("__object", decode_object(F.col(raw)))
+    return told.withColumn(name, regions(F.col("__object"), source_lang, target_lang)).drop("__object")
+
+
+def regions(decoded: Column, source_lang: str, target_lang: str) -> Column:
+    """Clean, distinct regions of a decoded answer, by top edge, then left edge."""
+    parsed = F.slice(F.from_json(decoded, f"struct<regions: array<{_RAW}>>")["regions"], 1, MOST_REGIONS)
     good = F.array_distinct(F.array_compact(F.transform(parsed, lambda r: clean_region(r, source_lang, target_lang))))
     # Confidence tells no regions apart; of equal ones the first stays.
     named = F.transform(good, lambda r, i: F.struct(r["bbox"][1].alias("y"), r["bbox"][0].alias("x"), i.alias("i"), r.alias("r")))

@@ -73,7 +73,7 @@ def read_images(images: DataFrame, backend: VisionBackend, source_lang: str, tar
     hits = once.where("answer IS NOT NULL").select("key", "answer", F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("cache_hit"))
     answers = fresh.unionByName(hits)
     out = hashed.join(answers, "key")
-    return out.withColumn("regions", jsonio.regions(F.coalesce("answer", F.lit("")), source_lang, target_lang))
+    return jsonio.with_regions(out, "answer", source_lang, target_lang)
 
 
 def overlay_plan(regions: DataFrame, min_confidence: float = 0.5, min_font: int = 6, padding: int = 3, ratio: float = 0.04) -> DataFrame:
