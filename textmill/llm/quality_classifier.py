@@ -107,7 +107,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, penalty: float
     shares = [((su >= c).mean(), (sp >= c).mean()) for c in cuts]
     # The cut with the least upper confidence bound.  The lower side of its ratio is taken:
     # a prior too high lets the non-negative risk pass all negatives over.
-    best = min((x for x in shares if x[1] > 0.1), key=lambda x: (x[0] + slack) / x[1], default=(0.5, 1.0))
+    best = min((x for x in shares if x[1] > 0.1), key=lambda x: (x[0] + 2 * slack) / x[1], default=(0.5, 1.0))
     return float(np.clip(best[0] / best[1] - slack / 2, 0.05, 0.99))
 
 

@@ -18,7 +18,7 @@ from textmill.llm.scratch import own, stash
 
 QUERY_TILE, TILE, FAN_IN = 1024, 2048, 16
 _TILE = "tile long, dim int, ids binary, matrix binary"
-_LISTS = "query_tile long, shard long, query_ids binary, ids binary, scores binary, k int"
+_LISTS = "query_tile long, dim int, shard long, query_ids binary, ids binary, scores binary, k int"
 
 
 def scaled(vector: Column, scale: int) -> Column:
@@ -80,7 +80,7 @@ def _meet(k: int):
                         count[at + i] = len(best)
                         out_ids[at + i, : len(best)], out_scores[at + i, : len(best)] = own_ids[best], own_scores[best]
                 packed = np.concatenate((count[:, None], out_ids), 1)
-                yield pd.DataFrame({"query_tile": [r.query_tile], "shard": [r.tile], "query_ids": [r.query_ids], "ids": [packed.tobytes()], "scores": [out_scores.tobytes()], "k": [k]})
+                yield pd.DataFrame({"query_tile": [r.query_tile], "dim": [r.dim], "shard": [r.tile], "query_ids": [r.query_ids], "ids": [packed.tobytes()], "scores": [out_scores.tobytes()], "k": [k]})
 
     return meet
 
@@ -99,7 +99,7 @@ def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         best = _best(own_scores, ids, k)
         out_ids[i, 0] = len(best)
         out_ids[i, 1 : len(best) + 1], out_scores[i, : len(best)] = ids[best], own_scores[best]
-    return pd.DataFrame({"query_tile": [key[0]], "shard": [key[1]], "query_ids": [qids], "ids": [out_ids.tobytes()], "scores": [out_scores.tobytes()], "k": [k]})
+    return pd.DataFrame({"query_tile": [key[0]], "dim": [key[1]], "shard": [key[2]], "query_ids": [qids], "ids": [out_ids.tobytes()], "scores": [out_scores.tobytes()], "k": [k]})
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,10 +132,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     parts = max(1, min(n_shards * n_queries, 10_000))
     # Tiles, not rows, meet: as many pairs as the matrix products that the answer is made of.
     names = shards.select("tile", "dim").join(wanted.select("query_tile", "dim"), "dim")
-    pairs = names.join(shards.drop("dim"), "tile").join(wanted.drop("dim"), "query_tile")
-    lists = stash(pairs.repartition(parts, "query_tile", "tile").mapInPandas(_meet(k), _LISTS), "top-lists")
+    pairs = names.join(shards, ["tile", "dim"]).join(wanted, ["query_tile", "dim"])
+    lists = stash(pairs.repartition(parts, "query_tile", "dim", "tile").mapInPandas(_meet(k), _LISTS), "top-lists")
     while n_shards > 1:
-        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN)).groupBy("query_tile", "shard").applyInPandas(_merge, _LISTS)
+        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN)).groupBy("query_tile", "dim", "shard").applyInPandas(_merge, _LISTS)
         n_shards = -(-n_shards // FAN_IN)
     return lists.mapInPandas(_rows, "query_id long, rank int, vec_id long, score long")
 
