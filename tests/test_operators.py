@@ -387,3 +387,38 @@ def test_progress_stream(spark, tmp_path):
     q = streaming.job_states(lines).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert spark.table("states").first().progress == 3
+
+
+def test_grid_translation(spark):
+    from textmill.operators import grid
+
+    class Model:
+        def complete(self, messages):
+            text = messages[-1]["content"]
+            if text.startswith("["):
+                return json.dumps([{"甲": "А", "乙": "乙"}.get(x, "") for x in json.loads(text)], ensure_ascii=False)
+            return "Б"
+
+    cells = spark.createDataFrame([("f", 0, 0, "甲"), ("f", 0, 1, "x"), ("f", 1, 0, "乙"), ("f", 1, 1, "甲")], "file string, line long, col int, value string")
+    got = {(r.line, r.col): r.value for r in grid.translate_cells(cells, Model()).collect()}
+    assert got == {(0, 0): "А", (0, 1): "x", (1, 0): "Б", (1, 1): "А"}
+    assert grid.max_tokens(10) == 732 and grid.max_tokens(10, batch=False) == 280
+    assert grid.translate_stem("0123456789ab_Имя V2", Model(), "ru") == "Б"
+    r = spark.range(1).select(grid.progress(F.lit(50), F.lit(100), F.lit(10.0)).alias("p")).first().p
+    assert (r.rate, r.eta) == (5.0, 10)
+
+
+def test_document_job(spark, tmp_path):
+    from textmill.plans.document import compare, document_job
+
+    blocks = [block([span("第1章 总则", [50, 50, 300, 62])]), block([span("型号 XG-200", [50, 80, 300, 92])])]
+    pages = spark.createDataFrame([page(blocks)], schema.PAGE)
+    toc = spark.createDataFrame([("d", 0, 1, "第1章 总则 ..... 1", 0)], "doc_id string, pos int, lvl int, title string, page int")
+    model = translate.Dictionary({"第1章": "Глава 1", "总则": "Общее", "型号": "Модель"})
+    job = document_job(spark, pages, toc, model, {"source_lang": "zh", "target_lang": "ru"}, "h", str(tmp_path))
+    assert job.run() == ["segment", "translate", "layout"]
+    assert job.run(resume=True) == []
+    planned = spark.read.parquet(str(tmp_path / "layout.parquet"))
+    assert sorted(r.layout_text for r in planned.collect()) == ["Глава 1 Общее", "Модель XG-200"]
+    assert spark.read.parquet(str(tmp_path / "toc.parquet")).first().target == "Глава 1 Общее"
+    assert compare(pages, planned).collect() == []
