@@ -49,6 +49,9 @@ SANS = ("sans", "arial", "helvetica", "calibri", "verdana", "tahoma", "segoe", "
 MONO = ("mono", "courier", "consol", "cascadia", "menlo", "lucida console", "noto sans mono", "liberation mono", "dejavu sans mono")
 BOLD = ("bold", "bd", "black", "heavy", "demibold", "semibold", "med", "medium", "ariblk", "-calibri-bold")
 ITALIC = ("italic", "ital", "oblique", "-it", "_it", "italicmt")
+RESPONSE_LABELS = ("json", "response", "answer", "translation", "ответ", "перевод")
+MARKDOWN_LABELS = ("markdown", "translation", "перевод", "ответ")
+MARKDOWN_HEADS = ("текст страницы", "перевод", "markdown-перевод", "перевод на русский", "русский перевод")
 BAD_LAYOUT_KEYS = ("lost", "lost_count", "lost_blocks", "lost_segments", "dropped", "dropped_blocks", "notfit", "not_fit", "not_fitted", "notfit_count", "not_fit_count", "notfit_blocks", "unplaced", "unplaced_blocks", "unexpected_insert_failure", "source_retained_blocks")
 # ------------------------------------------------------------------------------------
 

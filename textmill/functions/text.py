@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmill.config import BOLD, CYRILLIC, HAN, HAN_COMPAT, ITALIC, LINE_END, LIST_BULLET, LIST_NUMBER, MONO, PUNCTUATION, SANS, SERIF, WS, WS_IN_LINE, Settings, base_language, script_class
+from textmill.config import BOLD, CYRILLIC, HAN, HAN_COMPAT, ITALIC, LINE_END, LIST_BULLET, LIST_NUMBER, MARKDOWN_HEADS, MARKDOWN_LABELS, MONO, PUNCTUATION, RESPONSE_LABELS, SANS, SERIF, WS, WS_IN_LINE, Settings, base_language, script_class
 
 #: A character that no text holds; marks matched spans.
 MARK = "\ufffe"
@@ -47,7 +47,7 @@ def normalize_markers(text: Column, s: Settings = Settings()) -> Column:
     """Leading list markers become one bullet; private-use and NUL characters go; nothing is trimmed."""
     if s.bullet_chars:
         chars = "".join(f"\\x{{{ord(c):x}}}" for c in s.bullet_chars)
-        text = F.regexp_replace(text, rf"(?m)(^{WS}*)[{chars}]", "$1" + re.sub(r"([\\$])", r"\\\1", s.bullet_replace or "•"))
+        text = F.regexp_replace(text, rf"(?md)(^{WS_IN_LINE}*)[{chars}]", "$1" + re.sub(r"([\\$])", r"\\\1", s.bullet_replace or "•"))
     if s.remove_pua:
         text = F.regexp_replace(text, r"[\x{f000}-\x{f8ff}]", "")
     return F.replace(text, F.lit("\0"), F.lit(""))
@@ -92,7 +92,7 @@ def logical_bullets(text: Column) -> Column:
     return F.filter(found, lambda x: x != "")
 
 
-_LABEL = rf"(?iu)\A{WS}*(?:json|response|answer|translation|ответ|перевод){WS}*:{WS}*"
+_LABEL = rf"(?iu)\A{WS}*(?:{"|".join(RESPONSE_LABELS)}){WS}*:{WS}*"
 _FENCE = rf"(?is)\A{WS}*```(?:json|markdown|md|text)?{WS}*\n?(.*?)\n?```{WS}*\z"
 
 
@@ -151,7 +151,10 @@ def anchors_match(source: Column, target: Column, s: Settings = Settings()) -> C
 _URL = rf"(?i)https?://[^\t-\r\x1c-\x20\x85\p{{Z}}<>()]+"
 _CODE_END = rf"(?![A-Za-z0-9]|[-_/.:]?{MARK})"
 _CODE = r"(?<![A-Za-z0-9])%s[A-Za-z][A-Za-z0-9]*+(?:[-_/.:][A-Za-z0-9]++)*+" + _CODE_END
-_DIGIT_AHEAD = r"(?=(?:[A-Za-z0-9]|[-_/.:](?=[A-Za-z0-9]))*?[0-9])"
+#: Possessive, so that the matcher loops and does not recurse over a long token.
+_DIGIT_AHEAD = r"(?=(?:[A-Za-z]++|[-_/.:](?=[A-Za-z0-9]))*+[0-9])"
+#: A number that begins as a code's last part goes on after it, and is no number of its own.
+_NUMBER_TAIL = r"(?:(?<=[-_/.:][0-9]{1,32})(?:[.,]\p{Nd}++)*+)?"
 _NUMBER = r"(?<![A-Za-z0-9])\p{Nd}+(?:[.,]\p{Nd}+)*"
 
 
@@ -166,7 +169,7 @@ def critical_tokens(text: Column) -> Column:
     t = F.regexp_replace(t, _URL, MARK)
     code = _CODE % _DIGIT_AHEAD
     codes = F.transform(F.regexp_extract_all(t, F.lit(code), F.lit(0)), lambda x: F.concat(F.lit("code:"), F.lower(x)))
-    t = F.regexp_replace(t, code, MARK)
+    t = F.regexp_replace(t, code + _NUMBER_TAIL, MARK)
     numbers = F.transform(F.regexp_extract_all(t, F.lit(_NUMBER), F.lit(0)), lambda x: F.concat(F.lit("num:"), F.replace(x, F.lit(","), F.lit("."))))
     return F.concat(urls, codes, numbers)
 
@@ -234,9 +237,9 @@ def anchor_dashes(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "\u00ad\u2010\u2011\u2212", "----")
 
 
-_MD_LABEL = rf"(?iu)\A{WS}*(?:markdown|translation|перевод|ответ){WS}*:{WS}*"
+_MD_LABEL = rf"(?iu)\A{WS}*(?:{"|".join(MARKDOWN_LABELS)}){WS}*:{WS}*"
 _MD_FENCE = r"(?is)\A```(?:markdown|md|text)?%s*\n?(.*?)\n?```\z" % WS
-_MD_HEADS = "текст страницы|перевод|markdown-перевод|перевод на русский|русский перевод"
+_MD_HEADS = "|".join(MARKDOWN_HEADS)
 
 
 def clean_markdown(text: Column) -> Column:

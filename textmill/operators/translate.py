@@ -23,7 +23,7 @@ from textmill.operators.spatial import budgets
 from textmill.scratch import stash
 
 PROMPT_VERSION = "segments-1"
-CONTRACT = "json:{source_language,target_language,glossary,anchors,items};item:{id,type,context,source};response:{items:[{id,translation}]}"
+CONTRACT = "request: languages, glossary, anchors, items of id, type, context, source; answer: items of id, translation"
 TOO_LONG = "translation_too_long"
 
 
