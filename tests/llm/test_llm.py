@@ -527,3 +527,20 @@ def test_pipeline_stages(spark):
         else:
             assert after.piece_words.sum() == sum(len(re.findall(WORD, t)) for t in before.text)
         df = out
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None)], [(1, "", "en", None), (1, "", "en", None)]])
+def test_stages_on_odd_tables(spark, rows):
+    """Empty tables, only nulls, only empty repeated texts: every stage and query operator gives what its docstring says."""
+    import corpus_pipeline
+    from textmill.llm.scratch import stash
+
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    n = len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stash(stage(spark, df, SF), f"odd-{name}").count() == (0 if name == "language_id" else min(n, 1) if name == "simhash_dedup" else 0 if name == "source_mix" else n)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert simhash.near_duplicates(df).count() == quality_rules.judge(df).count() == quality_classifier.score(df, labels).count() == n
+    assert secrets.digest(secrets.scan(df)).count() == mixing.mix(df).count() == langid.predict(df).count() == packing.pack(df).count() == n
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert urlfilter.filter_urls(pages).count() == 0

@@ -169,7 +169,11 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.25, **options) -> DataFrame:
-    """The rows of ``docs`` with a known language whose score reaches ``min_score``; all columns stay."""
+    """The rows of ``docs`` with a known language whose score reaches ``min_score``; all columns stay.
+
+    Null texts and texts without a letter go.  Repeated rows are judged alike.  An
+    empty table gives no rows.
+    """
     model = train(docs, id_col, text_col, lang_col, ~held_out(F.col(id_col)), **options)
     told = docs.withColumn("__told", language(model, F.col(text_col), docs))
     return told.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= min_score)).drop("__told")

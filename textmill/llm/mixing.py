@@ -124,7 +124,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: rows of ``docs`` repeated as often as it takes them, all columns kept.
 
     The boundary document's last copy is its first words up to the budget; ``length_col``,
-    if the table has it, is set to that text's length.
+    if the table has it, is set to that text's length.  Texts without words follow their
+    hash, taking none of the budget; where a whole source has none, it takes nothing.
+    Repeated rows share one hash.  An empty table gives no rows.
     """
     rows = own(docs, id=id_col, source=source_col, text=text_col)
     sized = stash(rows.select("source", id_hash(F.col("id")).alias("h"), n_words(F.col("text")).alias("size")), "mix-sizes")

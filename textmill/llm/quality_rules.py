@@ -28,7 +28,7 @@ STEPS = 4
 #: Rows that a source's own estimate must have to weigh as much as its language's.
 LEAN = 50
 #: Tail of the chi-squared distribution beyond which a vector is rejected.
-TAIL = 1e-8
+TAIL = 1e-6
 FEATURES = ("word_length", "symbols", "other", "upper", "marks")
 #: Least standard deviation of each feature; scatter is never taken to be smaller.
 FLOORS = (0.35, 0.06, 0.07, 0.05, 0.07)

@@ -1,78 +1,23 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables, row numbers and batches of the operators here.
 
-``stash`` writes a DataFrame as Parquet below ``spark.checkpoint.dir`` and reads
-it back: lineage is cut, a lost executor costs one re-read, and later passes see
-a columnar table.  Where the session names no such folder (local tests) one is
-made and set.  Tables live until the application ends or ``drop`` is called.
+Tables go through ``textmill.scratch``: Parquet in the folder that all executors share,
+so lineage is cut, a lost executor costs one re-read, and later passes read few columns.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.scratch import drop, stash
+
+__all__ = ["UID", "drop", "own", "small_batches", "stash", "with_uid"]
+
 UID = "__uid"
 #: Rows handed to Python at once; a row can be a megabyte, so far below Spark's default.
 ARROW_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="textmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/textmill-{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-_cleaned: set[str] = set()
-
-
-def _clean_at_exit(spark: SparkSession) -> None:
-    root = _root(spark)
-    if root in _cleaned:
-        return
-    _cleaned.add(root)
-
-    def clean() -> None:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            _delete(spark, root)
-
-    atexit.register(clean)
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once into the shared folder and returns the table read back."""
-    spark = df.sparkSession
-    _clean_at_exit(spark)
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._textmill_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by ``stash`` that no later plan reads."""
-    path = getattr(df, "_textmill_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
 def with_uid(df: DataFrame) -> DataFrame:
     """Adds a row number that is unique; it is only stable once the result is stashed."""
     return df.withColumn(UID, F.monotonically_increasing_id())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.folds import running
+from textmill.functions.folds import running
 from textmill.llm.scratch import UID, own, stash, with_uid
 
 #: Kinds in the order that breaks ties between spans with one start.
@@ -133,7 +133,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), length_col: str | None = "n_chars", mask: str = "[SECRET]", example_owners: int = 3, example_repos: int = 5) -> DataFrame:
     """``docs`` with the spans of every text replaced by ``mask``; overlapping spans get one.
 
-    All rows and columns stay; ``length_col``, if the table has it, follows the text.
+    All rows and columns stay; ``length_col``, if the table has it, follows the text.  Null texts stay
+    null.  Repeated rows are masked alike.  An empty table gives no rows.
     """
     held = with_uid(docs)
     owner = F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit(""))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.graph import components
-from textmill.llm.scratch import own, small_batches, stash
+from textmill.llm.scratch import UID, own, small_batches, stash, with_uid
 
 #: Shingles hashed at once; bounds the memory of a very long text.
 CHUNK = 1 << 16
@@ -234,8 +234,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Ids may repeat or be null; ties fall to the row stored first.  All columns stay.
     """
-    from textmill.llm.scratch import UID, with_uid
-
     held = stash(with_uid(docs), "dedup-input")
     found = near_duplicates(held, id_col, text_col, carry=(UID,), **options)
     first = found.groupBy("class_fp").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(UID))).alias("first"))
