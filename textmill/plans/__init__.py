@@ -1,5 +1,8 @@
 """Whole queries over the driver's tables, each with its SQL twin."""
 
-from textmill.plans.catalogue import ORACLES, QUERIES
+from textmill.plans import catalogue, reports
+
+QUERIES = catalogue.QUERIES | reports.QUERIES
+ORACLES = catalogue.ORACLES | reports.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -232,14 +232,14 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""WITH b AS (SELECT p_partkey, {_BOX} FROM part), c AS (SELECT i AS cell_idx, (i % 10 * 10)::DOUBLE AS cx, (i // 10 * 10)::DOUBLE AS cy FROM range(0, 100) t(i)),
 m AS (SELECT p_partkey, min(cell_idx) AS cell_idx FROM b JOIN c ON (x0 + x1) / 2 BETWEEN cx - 1 AND cx + 11 AND (y0 + y1) / 2 BETWEEN cy - 1 AND cy + 11 AND (x0 + x1) / 2 BETWEEN -1 AND 101 AND (y0 + y1) / 2 BETWEEN -1 AND 101 GROUP BY 1)
-SELECT b.p_partkey, CASE WHEN (x0 + x1) / 2 BETWEEN -1 AND 101 AND (y0 + y1) / 2 BETWEEN -1 AND 101 THEN 0 END AS table_idx, m.cell_idx::INTEGER AS cell_idx, (m.cell_idx // 10)::INTEGER AS "row", (m.cell_idx % 10)::INTEGER AS "col" FROM b LEFT JOIN m USING (p_partkey)""")
+SELECT b.p_partkey, CASE WHEN (x0 + x1) / 2 BETWEEN -1 AND 101 AND (y0 + y1) / 2 BETWEEN -1 AND 101 THEN 0 ELSE -1 END AS table_idx, coalesce(m.cell_idx, -1)::INTEGER AS cell_idx, coalesce(m.cell_idx // 10, -1)::INTEGER AS "row", coalesce(m.cell_idx % 10, -1)::INTEGER AS "col" FROM b LEFT JOIN m USING (p_partkey)""")
 def cell_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes in a grid of 100 cells of equal size: the first of equals counts."""
     boxes = _boxes(spark, sf_dir).select(F.lit(0).alias("page"), F.col("p_partkey").alias("box_id"), "bbox")
     i = F.col("id").cast("int")
     x, y = (i % 10 * 10).cast("double"), (F.floor(i / 10) * 10).cast("double")
     cells = spark.range(100).select(F.lit(0).alias("page"), F.lit(0).alias("table_idx"), F.array(*map(F.lit, (0.0, 0.0, 100.0, 100.0))).alias("table_bbox"), i.alias("cell_pos"), i.alias("cell_idx"), F.floor(i / 10).cast("int").alias("row"), (i % 10).alias("col"), F.array(x, y, x + 10, y + 10).alias("cell_bbox"))
-    return spatial.locate(boxes, cells, ["page"]).select(F.col("box_id").alias("p_partkey"), "table_idx", "cell_idx", "row", "col")
+    return spatial.locate(boxes, cells, ["page"]).select(F.col("box_id").alias("p_partkey"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("table_idx", "cell_idx", "row", "col")])
 
 
 @_query(f"""WITH b AS (SELECT p_partkey, p_brand, {_BOX} FROM part)
