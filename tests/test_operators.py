@@ -422,3 +422,50 @@ def test_document_job(spark, tmp_path):
     assert sorted(r.layout_text for r in planned.collect()) == ["Глава 1 Общее", "Модель XG-200"]
     assert spark.read.parquet(str(tmp_path / "toc.parquet")).first().target == "Глава 1 Общее"
     assert compare(pages, planned).collect() == []
+
+
+def test_border_median_and_boxes(spark):
+    pixels = bytearray(bytes([10, 20, 30]) * 25)
+    for y in range(1, 4):
+        for x in range(1, 4):
+            pixels[(y * 5 + x) * 3 : (y * 5 + x) * 3 + 3] = bytes([200, 200, 200])
+    df = spark.createDataFrame([(pixels, 5, 5, [1, 1, 4, 4])], "px binary, w int, h int, r array<int>")
+    assert df.select(vision.border_median(F.col("px"), F.col("w"), F.col("h"), F.col("r"))).first()[0] == [10, 20, 30]
+    whole = df.withColumn("r", F.array(*map(F.lit, (0, 0, 5, 5))))
+    assert whole.select(vision.border_median(F.col("px"), F.col("w"), F.col("h"), F.col("r"))).first()[0] == [10, 20, 30]
+    boxes = spark.createDataFrame([([1.0, 9.0, 20.0, 30.0],), ([5.0, 2.0, 50.0, 12.0],)], "b array<double>")
+    page_box = F.array(*[F.lit(float(v)) for v in (0, 0, 51, 90)])
+    assert boxes.agg(G.page_text_box("b", page_box)).first()[0] == [0.0, 0.0, 51.0, 32.0]
+
+
+def test_html_and_names(spark):
+    r = spark.createDataFrame([("a<b>&",)], "t string").select(markdown.to_html(F.col("t")).alias("h"), markdown.font_family(F.lit("x/y/Deja Vu.ttf")).alias("f"), markdown.page_text(F.lit(" "), F.col("t")).alias("p")).first()
+    assert "<pre>a&lt;b&gt;&amp;</pre>" in r.h and r.f == "Deja Vu" and r.p == "a<b>&"
+    assert "15.0pt" in markdown.css("X", 10.0)
+    pages = spark.createDataFrame([("d", 1, "b"), ("d", 0, "a")], "doc_id string, page int, markdown string")
+    assert markdown.pages_map(pages).first().pages == {0: "a", 1: "b"}
+
+
+def test_reports_and_errors(spark, tmp_path):
+    assert validate.load_report(inline={"a": 1}) == ({"a": 1}, None)
+    assert validate.load_report(path=str(tmp_path / "none"))[1] and validate.load_report(output=str(tmp_path / "none")) == (None, None)
+    (tmp_path / "x.layout.json").write_text("{")
+    assert validate.load_report(output=str(tmp_path / "x"))[1]
+    assert validate.layout_failures({"notfit": {"count": 0}, "items": [{"status": "Not-Fit"}], "lost": "2"}) == ["report.items[0].status=Not-Fit", "report.lost"]
+    reports = spark.createDataFrame([("d", json.dumps({"appendix_pages": "2", "overflow": [{"page": 3}, {"page": "x"}]})), ("e", json.dumps({"appendix_pages": 1, "lost": 1, "overflow": [{"page": 0}]}))], "doc_id string, report string")
+    assert [tuple(r) for r in validate.overflow_pages(reports).collect()] == [("d", 3)]
+    fonts = sources.font_table(spark, [("a", "A", True), ("a", "B", True), ("b", "B", False)])
+    assert fonts.count() == 2
+    (tmp_path / "f.ttf").write_text("")
+    assert sources.find_font(["", str(tmp_path / "no"), str(tmp_path / "f.ttf")], lambda p: True).endswith("f.ttf")
+
+
+def test_prompts_and_instructions(spark):
+    assert "Рис." in translate.system_prompt(Settings())
+    df = spark.createDataFrame([("图1-1 XG-200 中文",)], "t string")
+    reasons = F.array(*map(F.lit, ("residual_han", "anchor_numbers_mismatch", "critical_tokens_mismatch", "other")))
+    told = df.select(translate.instructions(F.col("t"), reasons, F.lit(None).cast("int"))).first()[0]
+    assert "中文" in told[0] and "1-1" in told[1] and "code:xg-200" in told[2] and told[3] == "other"
+    bad = df.select(translate.violations(F.col("t"), F.lit("Рис. 1-1 XG-200 中"), F.lit(5))).first()[0]
+    assert bad == ["residual_han", "translation_too_long"]
+    assert df.select(translate.violations(F.col("t"), F.lit(" "), F.lit(5))).first()[0] == ["empty_translation"]
