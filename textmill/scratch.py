@@ -6,13 +6,12 @@ than cached: a lost executor costs one re-read.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_cleaned: set[str] = set()
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,30 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean_at_exit(spark: SparkSession, root: str) -> None:
-    if root in _cleaned:
-        return
-    _cleaned.add(root)
-
-    def clean() -> None:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            delete(spark, root)
-
-    atexit.register(clean)
+def _path(spark: SparkSession, name: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and returns the table read back; it lives until the application ends."""
+    """Writes ``df`` once and returns the table read back; it lives until the driver's JVM ends."""
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/textmill-{spark.sparkContext.applicationId}"
-    _clean_at_exit(spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if root not in _kept:
+        files, target = _path(spark, root)
+        files.deleteOnExit(target)
+        _kept.add(root)
     out = spark.read.schema(df.schema).parquet(path)
     out._textmill_path = path
     return out
@@ -56,4 +46,5 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Deletes a table made by ``stash`` that no later plan reads."""
     if path := getattr(df, "_textmill_path", None):
-        delete(df.sparkSession, path)
+        files, target = _path(df.sparkSession, path)
+        files.delete(target, True)
