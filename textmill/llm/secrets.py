@@ -160,3 +160,29 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", r
         marked = marked.withColumn(length_col, F.length(text).cast(docs.schema[length_col].dataType))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return held.where(~hit).select(*names).unionAll(marked.select(*names))
+
+
+def oracle_sql(example_owners: int = 3, example_repos: int = 5) -> str:
+    """DuckDB SQL for the digest of all ``documents``."""
+    found = " UNION ALL ".join(
+        f"""SELECT rid, owner, repo, {k} AS kind, {least} AS least, regexp_extract_all(t, '{p.replace("'", "''")}', 0) AS m, regexp_extract_all(t, '{p.replace("'", "''")}', {group}) AS v, string_split_regex(t, '{p.replace("'", "''")}') AS g FROM d"""
+        for k, (p, group, least) in enumerate(PATTERNS.values())
+    )
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    written = f"string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS n FROM f WHERE len(m) > 0),
+x AS MATERIALIZED (SELECT rid, owner, repo, kind, v[n] AS value, sha256(v[n]) AS hash,
+  (list_sum(list_transform(g[1:n], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:n - 1], lambda y: length(y))), 0))::BIGINT AS s, length(m[n]) AS size FROM i WHERE length(v[n]) >= least),
+a AS (SELECT *, s + size AS e, length(value) >= 20 AND len(regexp_extract_all(value, '[0-9]')) >= 3 AND len(regexp_extract_all(value, '[A-Za-z]')) >= 3
+  AND len(list_distinct(string_split(value, ''))) >= 10 AND NOT regexp_matches(value, '(?i)example|sample|dummy|xxxx|1234567|changeme') AS random_looking FROM x),
+c AS MATERIALIZED (SELECT * FROM a WHERE kind < 3 OR random_looking),
+h AS (SELECT hash, count(DISTINCT owner) >= {example_owners} OR count(DISTINCT repo) >= {example_repos} AS copied FROM c GROUP BY hash),
+j AS (SELECT c.*, h.copied, random_looking AND NOT h.copied AS live FROM c JOIN h USING (hash)),
+o AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  {written} FILTER (WHERE kind < 3) AS base, {written} FILTER (WHERE kind < 3 OR live) AS spans, count(DISTINCT hash) FILTER (WHERE live) AS n_live, count(DISTINCT hash) FILTER (WHERE copied) AS n_example FROM j GROUP BY rid)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN o USING (rid)
+"""
