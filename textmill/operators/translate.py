@@ -92,7 +92,7 @@ def prepare(segments: DataFrame, s: Settings = Settings(), terms: list[tuple[str
     rows = rows.withColumn("prompt_hash", cache.segment_hash(base, F.col("context"), F.col("terms")))
     rows = rows.withColumn("cache_key", cache.key(F.coalesce("text", F.lit("")), s.model, F.col("prompt_hash"))).withColumn("sid", F.col("id").cast("string"))
     if s.layout_budget:
-        room = budgets(segments, s, [key, "page"]).drop("page")
+        room = budgets(segments.withColumn("page", F.coalesce("page", F.lit(0))), s, [key, "page"]).drop("page")
         rows = rows.join(room, [key, "id"], "left")
     else:
         rows = rows.withColumn("max_chars", F.lit(None).cast("int"))
