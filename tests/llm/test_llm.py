@@ -119,6 +119,49 @@ def test_keep_first(spark):
     assert got.columns == docs(spark, rows).columns
 
 
+def plain_shingles(text):
+    words = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def test_near_dedup_catches_similar_texts(spark):
+    """The stage against all pairs, where most similar pairs differ in more than 3 bits."""
+    import corpus_pipeline
+
+    r = random.Random(5)
+    rows = []
+    for family in range(12):
+        base = long_text(family, 120).split()
+        for i in range(12):
+            words = list(base)
+            for _ in range(r.randint(0, 4)):
+                words[r.randrange(len(words))] = f"w{r.randrange(99)}"
+            rows.append((family * 100 + i, " ".join(words[: r.randint(105, 120)])))
+    rows += [(5000, None), (5001, ""), (5002, "Four words stand here"), (5003, "four words  stand here"), (5004, "four words stand there")]
+    sets = [plain_shingles(t) for _, t in rows]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    wide = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            near = (prints[i] ^ prints[j]).bit_count() <= 3
+            alike = 5 * both >= 4 * len(sets[i] | sets[j])
+            wide += alike and not near
+            if near or alike:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert wide > 50
+    got = corpus_pipeline.near_dedup(spark, docs(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, x) for x in range(501, 540)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}

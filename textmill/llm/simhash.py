@@ -23,9 +23,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.llm import similar
 from textmill.llm.graph import components
 from textmill.llm.scratch import UID, own, small_batches, stash, with_uid
 
@@ -229,13 +230,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), *carry, "fp", hexed.alias("fingerprint"), F.col("root").alias("class_fp"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """The rows of ``docs`` with one row of each near-duplicate component: its smallest id.
 
+    With ``similarity``, texts whose sets of five-word shingles are at least so similar
+    (Jaccard) are linked as well, exactly, however far their fingerprints are apart.
     Ids may repeat or be null; ties fall to the row stored first.  All columns stay.
     """
     held = stash(with_uid(docs), "dedup-input")
     found = near_duplicates(held, id_col, text_col, carry=(UID,), **options)
+    if similarity is not None:
+        found = _joined_by_similarity(held, found, text_col, similarity)
     first = found.groupBy("class_fp").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(UID))).alias("first"))
     kept = first.select(F.col(f"first.{UID}").alias(UID))
     return held.join(kept, UID, "left_semi").drop(UID)
+
+
+def _joined_by_similarity(held: DataFrame, found: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """``found`` with classes joined that hold equal or similar shingle sets."""
+    rows = own(held, **{UID: UID, "text": text_col})
+    sets = stash(similar.sets(rows), "shingle-sets")
+    found = stash(found.drop("fp", "fingerprint", "component_id"), "classes-found")
+    classes = sets.select(UID, "digest").join(found.select(UID, "class_fp"), UID).select("digest", "class_fp").distinct()
+    classes = stash(classes.withColumn("least", F.min("class_fp").over(Window.partitionBy("digest"))), "digest-classes")
+    one = classes.groupBy("digest").agg(F.min("least").alias("least"))
+    near = similar.links(rows, sets, similarity)
+    near = near.join(one.toDF("u", "cu"), "u").join(one.toDF("v", "cv"), "v").select("cu", "cv")
+    same = classes.where("class_fp <> least").select("class_fp", "least")
+    rooted = components(near.unionAll(same).toDF("u", "v"))
+    joined = found.join(rooted.withColumnRenamed("node", "class_fp"), "class_fp", "left")
+    return joined.withColumn("class_fp", F.coalesce("root", "class_fp")).drop("root")
