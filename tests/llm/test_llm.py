@@ -477,6 +477,16 @@ def test_language_id(spark):
     assert kept.count() == len(rows)
 
 
+def test_keep_known_rejects_unlearned_text(spark):
+    rows = [(i, in_language(lang, i), lang) for i, lang in enumerate(["aa", "bb"] * 90)]
+    r = random.Random(4)
+    other = ["qxzj wvkq zzxq jjqk xwvz qkjz vvxw " * 4, "qxzj wvkq zzxq jjqk xwvz qkjz vvxw", "Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生れながらにして自由であり"]
+    mixed = in_language("aa", 900) + " " + in_language("bb", 901)
+    rows += [(1000 + i, t, None) for i, t in enumerate(other)] + [(2000, mixed, None)]
+    kept = {x.doc_id for x in langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == set(range(180)) | {2000}
+
+
 def test_language_id_without_labels(spark):
     assert {r.lang_pred for r in langid.predict(docs(spark, [(1, "abc", None)])).collect()} == {"und"}
     assert langid.predict(docs(spark, [(1, "abc", "en")]).limit(0)).count() == 0

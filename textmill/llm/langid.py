@@ -51,6 +51,8 @@ class Model:
     penalty: float = 6.0
     rounds: int = 12
     options: dict = field(default_factory=dict)
+    #: Distributions over all bins.
+    whole: np.ndarray | None = None
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +92,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     telling = (prob * np.abs(np.log(prob / middle))).sum(0)
     kept = np.sort(np.argsort(-telling, kind="stable")[:bins])
     prior = np.array([sizes[x] for x in languages], float)
-    return Model(languages, kept, prob[:, kept] / prob[:, kept].sum(1, keepdims=True), prior / prior.sum())
+    return Model(languages, kept, prob[:, kept] / prob[:, kept].sum(1, keepdims=True), prior / prior.sum(), whole=prob)
 
 
 def _em(counts: np.ndarray, prob: np.ndarray, start: np.ndarray, prior: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +108,29 @@ def _em(counts: np.ndarray, prob: np.ndarray, start: np.ndarray, prior: np.ndarr
 
 def infer(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str]]:
     """Languages, scores and the selected language sets (``de+en``) of texts."""
+    return _inferred(model, texts)[:3]
+
+
+def told_apart(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Languages and scores of texts; ``und`` and 0 where trigrams are likelier drawn evenly from all bins than from the selected set.
+
+    Text of a language that was not learned, or of none, is less likely under any mixture than under even bins.
+    """
+    langs, score, _, share, counts = _inferred(model, texts)
+    if not model.languages:
+        return langs, score
+    fit = (counts * np.log(share @ model.whole)).sum(1)
+    n = counts.sum(1)
+    other = fit < -n * (np.log(DIM) + 1e-9)
+    return [UNKNOWN if o else x for x, o in zip(langs, other, strict=True)], np.where(other, 0.0, score)
+
+
+def _inferred(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str], np.ndarray, np.ndarray]:
     heard = [bool(t) and any(map(str.isalpha, t)) for t in texts]
     if not model.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
-    counts = np.array([trigrams(t)[model.bins] if ok else np.zeros(len(model.bins)) for t, ok in zip(texts, heard, strict=True)], np.float64).reshape(len(texts), -1)
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts), np.zeros((len(texts), 0)), np.zeros((len(texts), DIM))
+    everything = np.array([trigrams(t) if ok else np.zeros(DIM) for t, ok in zip(texts, heard, strict=True)], np.float64).reshape(len(texts), DIM)
+    counts = everything[:, model.bins]
     many, n = len(model.languages), np.maximum(counts.sum(1), 1)
     share, _ = _em(counts, model.prob, np.full((len(texts), many), 1 / many), model.prior, model.rounds)
     order = np.argsort(-share, 1, kind="stable")
@@ -132,7 +153,7 @@ def infer(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     score = np.where(heard, np.clip(best_share.max(1) * sure, 0, 1), 0.0)
     langs = [model.languages[i] if ok else UNKNOWN for i, ok in zip(top, heard, strict=True)]
     sets = ["+".join(x for x, p in zip(model.languages, row, strict=True) if p > 1e-9) if ok else "" for row, ok in zip(best_share, heard, strict=True)]
-    return langs, score, sets
+    return langs, score, sets, best_share, everything
 
 
 def language(model: Model, text: Column, df: DataFrame) -> Column:
@@ -171,9 +192,16 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.25, **options) -> DataFrame:
     """The rows of ``docs`` with a known language whose score reaches ``min_score``; all columns stay.
 
-    Null texts and texts without a letter go.  Repeated rows are judged alike.  An
-    empty table gives no rows.
+    Null texts, texts without a letter and those that fit no learned language go
+    (``told_apart``).  Repeated rows are judged alike.  An empty table gives no rows.
     """
     model = train(docs, id_col, text_col, lang_col, ~held_out(F.col(id_col)), **options)
-    told = docs.withColumn("__told", language(model, F.col(text_col), docs))
-    return told.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= min_score)).drop("__told")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_languages x DIM numbers
+
+    @F.pandas_udf("lang_pred string, score double")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        parts = [told_apart(shared.value, list(texts[i : i + 128])) for i in range(0, len(texts), 128)] or [([], np.zeros(0))]
+        return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts])})
+
+    rows = docs.withColumn("__told", told(F.col(text_col)))
+    return rows.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= min_score)).drop("__told")
