@@ -238,6 +238,16 @@ def test_quality_rules(spark):
     assert not any(by_id[1000 + i].kept for i in range(20))
 
 
+def test_large_sources_stand_on_their_own_scatter(spark):
+    r = np.random.default_rng(1)
+    floors, usual = np.array(quality_rules.FLOORS), np.array(quality_rules.USUAL)
+    wide, tight = (usual + k * floors * r.standard_normal((3000, 5)) for k in (8, 2))
+    rows = [("en", source, *map(float, x)) for source, part in (("wide", wide), ("tight", tight)) for x in part]
+    schema = "lang string, source string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES)
+    got = {x.source: np.array(x.scatter).reshape(5, 5).diagonal() for x in quality_rules.fit(spark.createDataFrame(rows, schema)).collect()}
+    assert (abs(got["tight"] / (2 * floors) ** 2 - 1) < 0.4).all()
+
+
 def test_repeated_words():
     for seed in range(60):
         r = random.Random(seed)

@@ -144,7 +144,7 @@ def _estimates(moments: DataFrame, keys: list[str], types: dict[str, str]) -> Da
                     scatter[i, j] = scatter[j, i] = CONSISTENCY * (r[f"s{i}_{j}"] / n - centre[i] * centre[j])
                 if r.get("base_centre") is not None:
                     base = np.array(r["base_scatter"]).reshape(_P, _P)
-                    lean = max(LEAN / (n + LEAN), 0.5)
+                    lean = LEAN / (n + LEAN)
                     centre = (centre * n + np.array(r["base_centre"]) * LEAN) / (n + LEAN)
                     scatter = (1 - lean) * scatter + lean * base
                 low = np.diag(np.maximum(np.array(FLOORS) ** 2 - np.diag(scatter), 0))
