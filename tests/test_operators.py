@@ -369,6 +369,14 @@ def test_csv(spark, tmp_path):
     assert (tmp_path / "out.csv").read_bytes() == '﻿я,x\r\n"я,1",y'.encode()
 
 
+def test_all_leftovers(spark, tmp_path):
+    grid = spark.range(10_050).select(F.lit("f").alias("file"), F.col("id").alias("line"), F.lit(0).alias("col"), F.lit("甲").alias("value"))
+    assert sources.promote(grid, str(tmp_path / "tmp.csv"), str(tmp_path / "out.csv")) == 10_050
+    text = (tmp_path / "tmp.csv.leftovers.json").read_text(encoding="utf-8")
+    want = [{"line": i + 1, "col": 1, "value": "甲"} for i in range(10_050)]
+    assert text == json.dumps(want, ensure_ascii=False, indent=2)
+
+
 def test_progress(spark):
     lines = ["=== ЭТАП: PARSE ===", "parse page 3/9", "=== ЭТАП: TRANSLATE ===", "Сегментов: 40", " 50%|#####     | 20/40", "ok=19 cached=2 fail=1"]
     df = spark.createDataFrame([("j", i, x) for i, x in enumerate(lines)], "job string, seq int, line string")

@@ -7,7 +7,7 @@ import io
 import json
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,23 +163,34 @@ def write_csv(grid: DataFrame, path: str, delimiter: str = ",") -> None:
 
 def promote(grid: DataFrame, path: str, main: str, delimiter: str = ",") -> int:
     """Writes ``path``; ``main`` too if no cell is left untranslated.  The number of cells left."""
-    left = han_cells(grid).select((F.col("line") + 1).alias("line"), (F.col("col") + 1).alias("col"), "value").orderBy("line", "col").limit(10_000).collect()
+    left = han_cells(grid).select((F.col("line") + 1).alias("line"), (F.col("col") + 1).alias("col"), "value")
+    many = left.count()
     write_csv(grid, path, delimiter)
-    if left:
-        save_json([r.asDict() for r in left], f"{path}.leftovers.json")
+    if many:
+        cells = left.orderBy("line", "col").toLocalIterator()
+        atomic_write(f"{path}.leftovers.json", _json_list(r.asDict() for r in cells))
     else:
         write_csv(grid, main, delimiter)
-    return len(left)
+    return many
 
 
-def atomic_write(path: str, text: str) -> None:
+def _json_list(items: Iterable) -> Iterator[str]:
+    """``json.dumps(list(items), ensure_ascii=False, indent=2)`` in parts."""
+    begun = False
+    for x in items:
+        yield ("," if begun else "[") + "\n  " + json.dumps(x, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+        begun = True
+    yield "\n]" if begun else "[]"
+
+
+def atomic_write(path: str, text: str | Iterable[str]) -> None:
     """A control file that is either the old one or the whole new one."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=folder, prefix=f".{os.path.basename(path)}.")
     try:
         with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
-            f.write(text)
+            f.writelines([text] if isinstance(text, str) else text)
             f.flush()
             os.fsync(f.fileno())
         os.replace(name, path)
