@@ -37,3 +37,10 @@ def test_query(spark, con, name):
         columns = [c[0] for c in cursor.description]
         assert sorted(df.columns) == sorted(columns)
         assert rows(got, df.columns) == rows(cursor.fetchall(), columns)
+
+
+def test_token_loss_reads_later_turns(spark, tmp_path):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a b"), (1, 2, "assistant", "a"), (1, 3, "user", "c c d"), (1, 4, "assistant", "c"), (1, 5, "user", "e")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["token_loss_pairs"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1), (1, 3, 2)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill import sources, streaming
@@ -132,6 +132,20 @@ def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", F.size(T.bag_minus(F.col("w0"), F.col("w1"))).alias("n_lost"))
 
 
+@_query("""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER o AS next_role, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, text, answer FROM t WHERE role = 'user' AND next_role = 'assistant'),
+a AS (SELECT conv_id, turn, x, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS x FROM p) GROUP BY ALL),
+b AS (SELECT conv_id, turn, x, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(answer, ' ')) AS x FROM p) GROUP BY ALL)
+SELECT p.conv_id, p.turn, coalesce(sum(greatest(a.n - coalesce(b.n, 0), 0)), 0)::INTEGER AS n_lost FROM p LEFT JOIN a USING (conv_id, turn) LEFT JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.x = b.x GROUP BY ALL""")
+def token_loss_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each user turn that the assistant turn right after it lacks, as bags."""
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _read(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(after), "answer": F.lead("text").over(after)})
+    none = F.array().cast("array<string>")
+    words = [F.coalesce(F.split(c, " ", -1), none) for c in ("text", "answer")]
+    return rows.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.size(T.bag_minus(*words)).alias("n_lost"))
+
+
 @_query("""WITH a AS (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS num FROM documents), b AS (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS num FROM benchmark),
 x AS (SELECT num, count(*) AS n FROM a GROUP BY 1), y AS (SELECT num, count(*) AS n FROM b GROUP BY 1)
 SELECT coalesce(x.num, y.num) AS num, greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0)::BIGINT AS missing, greatest(coalesce(y.n, 0) - coalesce(x.n, 0), 0)::BIGINT AS extra
