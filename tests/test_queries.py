@@ -44,3 +44,8 @@ def test_token_loss_reads_later_turns(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["token_loss_pairs"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, 1), (1, 3, 2)]
+
+
+def test_safe_names_reads_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a" + " " * 300 + "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["safe_names"](spark, str(tmp_path)).first().name == "a b"

@@ -84,7 +84,7 @@ def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 200), '[<>:"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) > 80 THEN rtrim(CASE WHEN contains(left(t, 80), ' ') THEN regexp_extract(left(t, 80), '^(.*) ', 1) ELSE left(t, 80) END) ELSE t END AS name FROM t""")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", T.safe_name(F.substring("text", 1, 200)).alias("name"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.safe_name(F.col("text")).alias("name"))
 
 
 _LOST = """WITH a AS (SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[^\\p{L}\\p{N}]', '', 'g')) AS s,
