@@ -8,16 +8,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: set[str] = set()
+#: Tables made within each open ``scope``.
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where none is set, a temporary one if driver and executors are one process
+    (``local`` masters); on a cluster that is an error, as executors don't share such a folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,9 +51,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         _kept.add(root)
     out = spark.read.schema(df.schema).parquet(path)
     out._textmill_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Gives the list of tables stashed within it, and deletes those in it at its end."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+        for df in made:
+            drop(df)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by ``stash`` that no later plan reads."""
     if path := getattr(df, "_textmill_path", None):
