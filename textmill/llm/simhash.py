@@ -10,10 +10,8 @@ bands (20 cells for each point).  Within a cell, candidates must first meet the
 Manhattan bound and then the exact Hamming distance.
 
 A cell emits a spanning forest of its links (fewer links than points), never all
-pairs.  Cells of more than ``cell_limit`` distinct fingerprints take another
-exact way: each point names every fingerprint within two flipped bits of it.  Points that
-meet at a name with distances adding up to at most 3 are linked through the nearest of them; at most
-2,081 distinct fingerprints can meet at one name, so no group is unbounded.
+pairs.  Within a crowded cell the same is done again by finer segments of one bit
+each: points within 3 bits share three of six bands of these as well.
 """
 
 from __future__ import annotations
@@ -23,36 +21,34 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import similar
 from textmill.llm.graph import components
-from textmill.llm.scratch import UID, own, small_batches, stash, with_uid
+from textmill.llm.scratch import UID, absent, bitmap, drop, own, packed_rows, present, small_batches, stash, unpacked, with_uid
+from textmill.llm.words import shingle_hashes
 
-#: Shingles hashed at once; bounds the memory of a very long text.
+#: Shingles whose bits are counted at once; bounds the memory of a very long text.
 CHUNK = 1 << 16
 BANDS = ((0, 5), (5, 10), (10, 16), (16, 21), (21, 26), (26, 32))
 CELLS = tuple(combinations(range(len(BANDS)), 3))
-CELL_LIMIT = 1 << 14
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Distinct fingerprints above which a cell is split by finer segments, and how often it is.
+CROWDED, SPLITS = 1 << 12, 3
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (uint64); 0 if there are none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text; 0 for a null text or one without words."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return 0
-    width = min(shingle, len(words))
-    total = len(words) - width + 1
-    ones = np.zeros(64, np.int64)
-    for at in range(0, total, CHUNK):
-        part = words[at : at + CHUNK + width - 1]
-        hashes = np.fromiter((xxh64_intdigest(b" ".join(x), seed) for x in zip(*(part[i:] for i in range(width)), strict=False)), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprint_column(text: Column, shingle: int = 3, seed: int = 42) -> Column:
@@ -85,22 +81,36 @@ def unary(e: np.ndarray) -> np.ndarray:
     return e | high
 
 
-def _band_mask(i: int) -> int:
-    a, b = BANDS[i]
-    return ((1 << 2 * (b - a)) - 1) << 2 * a
+def _masks(split: int) -> np.ndarray:
+    """Masks of the bands that cells hold fixed: bands of segments at first, then of single bits, turned by some bits each time."""
+    out = []
+    for cell in CELLS:
+        mask = sum(((1 << 2 * (b - a)) - 1) << 2 * a for a, b in (BANDS[i] for i in cell))
+        turn = 5 * max(0, split - 1)
+        out.append((mask << turn | mask >> (64 - turn)) & (2**64 - 1))
+    return np.array(out, np.uint64)
+
 
+def _named(kind: np.ndarray, within: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A 64-bit name of a cell; that two cells may share one costs time, no link."""
+    x = value ^ (within * np.uint64(0x9E3779B97F4A7C15)) ^ (kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    masks = [np.uint64(sum(_band_mask(i) for i in c)) for c in CELLS]
-    for pdf in batches:
-        e = embed(pdf["fp"].to_numpy(np.int64).view(np.uint64))
-        yield pd.DataFrame(
-            {
-                "cell_kind": np.repeat(np.arange(len(masks), dtype=np.int32), len(e)),
-                "cell": np.concatenate([e & m for m in masks]).view(np.int64),
-                "fp": np.tile(pdf["fp"].to_numpy(np.int64), len(masks)),
-            }
-        )
+
+def _cells(split: int):
+    """Rows (cell, fp), at first with cell 0 -> each point's cells within that cell."""
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        masks = _masks(split)
+        for pdf in batches:
+            points, within = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "cell"))
+            e = points if split else embed(points)
+            kind = np.arange(len(masks))
+            yield pd.DataFrame({"cell": np.concatenate([_named(kind[k : k + 1], within, e & m) for k, m in enumerate(masks)]).view(np.int64), "fp": np.tile(points.view(np.int64), len(masks))})
+
+    return cells
 
 
 def forest(points: np.ndarray, most: int, tile: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -150,15 +160,14 @@ def _cell_links(most: int):
             return pd.DataFrame({"u": u, "v": v})
 
         for pdf in cells:
-            kinds, names = pdf["cell_kind"].to_numpy(np.int64), pdf["cell"].to_numpy(np.int64)
-            fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            cuts = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(names) != 0)) + 1
+            names, fps = pdf["cell"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            cuts = np.flatnonzero(np.diff(names)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
                 if a == b:
                     continue
-                if (kinds[a], names[a]) != key:
+                if names[a] != key:
                     close()
-                    key = (kinds[a], names[a])
+                    key = names[a]
                 held.append(fps[a:b])
             yield found()
         close()
@@ -167,47 +176,29 @@ def _cell_links(most: int):
     return links
 
 
-def _names(most: int):
-    flips = [[0], [1 << i for i in range(64)], [1 << i | 1 << j for i, j in combinations(range(64), 2)]]
-    if not 1 <= most <= 3:
-        raise ValueError("fingerprints link at 1 to 3 differing bits")
-    #: The sum of the two distances to a shared name must reach ``most``: 2 + 1 for 3, 1 + 1 for 2, 1 + 0 for 1.
-    depth = (most + 1) // 2
-    xors = np.array([x for d in range(depth + 1) for x in flips[d]], np.uint64)
-    away = np.repeat(np.arange(depth + 1), [len(flips[d]) for d in range(depth + 1)]).astype(np.int32)
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                fps = pdf["fp"].to_numpy(np.int64)[at : at + 256]
-                yield pd.DataFrame({"name": (fps.view(np.uint64)[:, None] ^ xors).ravel().view(np.int64), "away": np.tile(away, len(fps)), "fp": np.repeat(fps, len(xors))})
-
-    return names
+def links(points: DataFrame, most: int = 3, crowded: int = CROWDED) -> DataFrame:
+    """(fp) of distinct fingerprints -> (u, v) links with the same components as all pairs within ``most`` bits.
 
-
-def _hub_links(points: DataFrame, most: int) -> DataFrame:
-    """Exact links of crowded cells, through shared names."""
-    named = points.mapInPandas(_names(most), "name long, away int, fp long")
-    nearest = named.groupBy("name").agg(F.min(F.struct("away", "fp")).alias("hub"))
-    met = named.join(nearest, "name").where((F.col("away") + F.col("hub.away") <= most) & (F.col("fp") != F.col("hub.fp")))
-    return met.select(F.col("fp").alias("u"), F.col("hub.fp").alias("v"))
-
-
-def links(points: DataFrame, most: int = 3, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """(fp) of distinct fingerprints -> (u, v) links with the same components as all pairs within ``most`` bits."""
-    cells = stash(points.mapInPandas(_cells, "cell_kind int, cell long, fp long"), "cells")
-    counted = cells.groupBy("cell_kind", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = stash(counted, "cell-counts")
-    met = cells.join(counted, ["cell_kind", "cell"])
-    direct = met.where(F.col("n") <= cell_limit).repartition("cell_kind", "cell").sortWithinPartitions("cell_kind", "cell")
-    found = direct.select("cell_kind", "cell", "fp").mapInPandas(_cell_links(most), "u long, v long")
-    if counted.where(F.col("n") > cell_limit).isEmpty():
-        return found
-    crowded = met.where(F.col("n") > cell_limit).select("fp").distinct()
-    return found.unionAll(_hub_links(stash(crowded, "crowded"), most))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, shingle: int = 3, seed: int = 42, cell_limit: int = CELL_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    Points of a cell with over ``crowded`` of them are dealt to finer cells within it in the same way, ``SPLITS``
+    times at most; a cell that is crowded after that is searched as it is.
+    """
+    if not 0 <= most <= 3:
+        raise ValueError("three of six bands are shared at up to 3 differing bits")
+    out, open_ = None, points.select(F.lit(0).cast("long").alias("cell"), "fp")
+    for split in range(SPLITS + 1):
+        cells = stash(open_.mapInPandas(_cells(split), "cell long, fp long"), "cells")
+        counted = stash(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cell-counts")
+        big = counted.where(F.col("n") > crowded).select("cell")
+        more = split < SPLITS and not big.isEmpty()
+        direct = cells.join(counted.where(F.col("n") <= crowded) if more else counted, "cell").select("cell", "fp")
+        found = direct.repartition("cell").sortWithinPartitions("cell").mapInPandas(_cell_links(most), "u long, v long")
+        out = found if out is None else out.unionAll(found)
+        if not more:
+            return out
+        open_ = cells.join(big, "cell", "left_semi").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, shingle: int = 3, seed: int = 42, crowded: int = CROWDED) -> DataFrame:
     """One row for each row of ``docs``: id, fp (signed 64 bits), fingerprint (hex), component_id.
 
     ``component_id`` is the smallest id in the row's component; components join
@@ -215,48 +206,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others.  Null and wordless texts have fingerprint 0 and link like any
     other.  Rows with a null id link like others; a component of such rows
     alone has a null ``component_id``.  Repeated rows are all returned.  An
-    empty table gives no rows.  Columns besides id, text and ``carry`` are ignored.
+    empty table gives no rows.  Columns besides id and text are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = own(docs, id=id_col, text=text_col, **{c: c for c in carry})
-    prints = stash(rows.select("id", *carry, fingerprint_column(F.col("text"), shingle, seed).alias("fp")), "fingerprints")
+    rows = own(docs, id=id_col, text=text_col)
+    prints = stash(rows.select("id", fingerprint_column(F.col("text"), shingle, seed).alias("fp")), "fingerprints")
     points = stash(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "points")
-    rooted = components(links(points.select("fp"), most, cell_limit))
+    rooted = components(links(points.select("fp"), most, crowded))
     roots = points.join(rooted, points["fp"] == rooted["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = stash(roots.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    classes = stash(roots.join(smallest, "root").select("fp", "component_id"), "classes")
     out = prints.join(classes, "fp", "left")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return out.select(F.col("id").alias(id_col), *carry, "fp", hexed.alias("fingerprint"), F.col("root").alias("class_fp"), "component_id")
+    return out.select(F.col("id").alias(id_col), "fp", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` with one row of each near-duplicate component: its smallest id.
+def profiles(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(UID, text) -> (UID, fp, digest, n, sketch, prefix) from one pass over the shingles of each text."""
+    shared = rows.sparkSession.sparkContext.broadcast(similar.frequent(rows, shingle))  # at most similar.FREQUENT numbers
 
-    With ``similarity``, texts whose sets of five-word shingles are at least so similar
-    (Jaccard) are linked as well, exactly, however far their fingerprints are apart.
-    Ids may repeat or be null; ties fall to the row stored first.  All columns stay.
+    @F.pandas_udf("fp long, digest long, n long, sketch binary, prefix array<long>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            hashes = shingle_hashes(text, shingle)
+            held = similar.distinct(hashes)
+            fp = int(np.array([majority(hashes)], np.uint64).view(np.int64)[0])
+            out.append((fp, similar.digest(held), len(held), similar.sketch(held), similar.prefix(held, *shared.value, similarity)))
+        return pd.DataFrame(out, columns=["fp", "digest", "n", "sketch", "prefix"])
+
+    return rows.select(UID, told("text").alias("told")).select(UID, "told.*")
+
+
+def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 3, crowded: int = CROWDED) -> DataFrame:
+    """(UID, text) -> (UID, root): rows of one root are those that links of similar texts join.
+
+    The similarity is Jaccard's, of the sets of ``shingle``-word shingles.  Texts whose fingerprints are within
+    ``most`` bits meet first, by the grid; their links are verified on whole sets.  All other similar texts,
+    however far their fingerprints are apart, follow by ``similar.links``.
+    """
+    told = stash(profiles(rows, shingle, similarity), "profiles")
+    named = stash(told.groupBy("fp", "digest").agg(F.min(UID).alias(UID)), "sets-by-print")
+    first = named.groupBy("fp").agg(F.min("digest").alias("first"))
+    same = named.join(first, "fp").where("digest <> first").select(F.col("first").alias("u"), F.col("digest").alias("v"))
+    met = stash(links(first.select("fp"), most, crowded), "print-links")
+    across = met.join(first.toDF("u", "fu"), "u").join(first.toDF("v", "fv"), "v").select(F.least("fu", "fv").alias("u"), F.greatest("fu", "fv").alias("v"))
+    likely = same.unionAll(across).where("u <> v").distinct()
+    near = similar.links(rows, told.select(UID, "digest", "n", "sketch", "prefix"), similarity, shingle, likely)
+    rooted = stash(components(near), "set-roots")
+    out = told.select(UID, "digest").join(rooted.withColumnRenamed("node", "digest"), "digest", "left")
+    out = stash(out.select(UID, F.coalesce("root", "digest").alias("root")), "row-roots")
+    for t in (told, named, met, rooted):
+        drop(t)
+    return out
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, **options) -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate class: its smallest id.
+
+    Classes are those of ``similar_classes``.  Null and wordless texts are one class.
+    Ids may repeat or be null; ties fall to the row stored first.  All columns stay, whatever they are called.  An
+    empty table gives no rows.
     """
-    held = stash(with_uid(docs), "dedup-input")
-    found = near_duplicates(held, id_col, text_col, carry=(UID,), **options)
-    if similarity is not None:
-        found = _joined_by_similarity(held, found, text_col, similarity)
-    first = found.groupBy("class_fp").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(UID))).alias("first"))
+    small_batches(docs.sparkSession)
+    held = stash(with_uid(packed_rows(docs, id=id_col)), "dedup-input")
+    rows = held.select(UID, F.col("row").getField(text_col).alias("text"))
+    classes = similar_classes(rows, similarity, shingle, **options)
+    found = classes.join(held.select(UID, "id"), UID)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col(UID))).alias("first"))
     kept = first.select(F.col(f"first.{UID}").alias(UID))
-    return held.join(kept, UID, "left_semi").drop(UID)
-
-
-def _joined_by_similarity(held: DataFrame, found: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """``found`` with classes joined that hold equal or similar shingle sets."""
-    rows = own(held, **{UID: UID, "text": text_col})
-    sets = stash(similar.sets(rows), "shingle-sets")
-    found = stash(found.drop("fp", "fingerprint", "component_id"), "classes-found")
-    classes = sets.select(UID, "digest").join(found.select(UID, "class_fp"), UID).select("digest", "class_fp").distinct()
-    classes = stash(classes.withColumn("least", F.min("class_fp").over(Window.partitionBy("digest"))), "digest-classes")
-    one = classes.groupBy("digest").agg(F.min("least").alias("least"))
-    near = similar.links(rows, sets, similarity)
-    near = near.join(one.toDF("u", "cu"), "u").join(one.toDF("v", "cv"), "v").select("cu", "cv")
-    same = classes.where("class_fp <> least").select("class_fp", "least")
-    rooted = components(near.unionAll(same).toDF("u", "v"))
-    joined = found.join(rooted.withColumnRenamed("node", "class_fp"), "class_fp", "left")
-    return joined.withColumn("class_fp", F.coalesce("root", "class_fp")).drop("root")
+    gone = stash(found.select(UID).join(kept, UID, "left_anti"), "dedup-gone")
+    drop(classes)
+    # Few rows go: only those that share a slot with one of them meet their names.
+    bits = stash(bitmap(gone, UID), "dedup-bits")
+    out = absent(held, UID, bits).unionByName(present(held, UID, bits).join(gone, UID, "left_anti"))
+    return unpacked(out, docs.columns)
