@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.scratch import own, small_batches
+from textmill.llm.scratch import own, packed_rows, small_batches, unpacked
 
 UNKNOWN = "und"
 DIM = 4096
+#: Most bytes of a model that is broadcast: some 6,000 languages.
+MODEL_BYTES = 1 << 28
 #: Bytes at once; bounds the memory of a very long text.
 CHUNK = 1 << 20
 _LETTERS = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
@@ -65,27 +67,29 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bin": at.astype(np.int32), "n": counts[at]})
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, rows_per_language: int = 4000, max_languages: int = 200, bins: int = 1024) -> Model:
-    """Learns from rows where ``learn`` holds and text and language are not null.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, rows_per_language: int = 4000, bins: int = 1024) -> Model:
+    """Learns every language of the rows where ``learn`` holds and text and language are not null.
 
-    At most about ``rows_per_language`` rows a language are read, picked by a hash of
-    the id; the ``max_languages`` most frequent languages are learned.  Bins are kept
-    by how far the languages differ in them.
+    About ``rows_per_language`` rows a language are read, picked by a hash of the id and a row number, so that
+    repeated and null ids are picked row by row.  Bins are kept by how far the languages differ in them.
     """
     small_batches(docs.sparkSession)
     rows = own(docs, id=id_col, text=text_col, lang=lang_col, ok=F.lit(True) if learn is None else learn)
-    rows = rows.where(F.col("ok") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.monotonically_increasing_id()), F.lit(1_000_000))
+    rows = rows.withColumn("part", part).where(F.col("ok") & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
-    part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000))
+    if 8 * len(sizes) * (DIM + bins) > MODEL_BYTES:
+        raise ValueError(f"{len(sizes)} values of {lang_col} are too many for one model")
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, rows_per_language / n) * 1_000_000))])
-    picked = rows.where(part < F.coalesce(rate[F.col("lang")], F.lit(0))).select("lang", "text")
+    picked = rows.where(F.col("part") < F.coalesce(rate[F.col("lang")], F.lit(0))).select("lang", "text")
     summed = picked.mapInPandas(_counted, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     languages = sorted(sizes)
     counts = np.zeros((len(languages), DIM))
+    row = {lang: i for i, lang in enumerate(languages)}
     for r in summed:
-        counts[languages.index(r["lang"]), r["bin"]] = r["n"]
+        counts[row[r["lang"]], r["bin"]] = r["n"]
     share = counts.sum(1, keepdims=True)
     prob = (counts + 0.5) / (share + 0.5 * DIM)
     middle = prob.mean(0)
@@ -125,24 +129,35 @@ def told_apart(model: Model, texts: list[str | None]) -> tuple[list[str], np.nda
     return [UNKNOWN if o else x for x, o in zip(langs, other, strict=True)], np.where(other, 0.0, score)
 
 
+def chosen(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares under each document's language set, and under all languages, of counts of the kept bins."""
+    many, n, rows = len(model.languages), np.maximum(counts.sum(1), 1), len(counts)
+    share, _ = _em(counts, model.prob, np.full((rows, many), 1 / many), model.prior, model.rounds)
+    order = np.argsort(-share, 1, kind="stable")
+    best, best_share, growing = np.full(rows, -np.inf), share.copy(), np.arange(rows)
+    # A document's set grows by its next language for as long as the penalised likelihood rises.
+    for size in range(1, many + 1):
+        inside = np.zeros((len(growing), many))
+        np.put_along_axis(inside, order[growing, :size], 1.0, 1)
+        start = inside * np.maximum(share[growing], 1e-6)
+        found, fit = _em(counts[growing], model.prob, start / start.sum(1, keepdims=True), model.prior, model.rounds)
+        value = fit - model.penalty * (size - 1) * np.log(n[growing] + 1)
+        rose = value > best[growing]
+        growing = growing[rose]
+        best[growing], best_share[growing] = value[rose], found[rose]
+        if not len(growing):
+            break
+    return best_share, share
+
+
 def _inferred(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str], np.ndarray, np.ndarray]:
     heard = [bool(t) and any(map(str.isalpha, t)) for t in texts]
     if not model.languages:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts), np.zeros((len(texts), 0)), np.zeros((len(texts), DIM))
     everything = np.array([trigrams(t) if ok else np.zeros(DIM) for t, ok in zip(texts, heard, strict=True)], np.float64).reshape(len(texts), DIM)
     counts = everything[:, model.bins]
-    many, n = len(model.languages), np.maximum(counts.sum(1), 1)
-    share, _ = _em(counts, model.prob, np.full((len(texts), many), 1 / many), model.prior, model.rounds)
-    order = np.argsort(-share, 1, kind="stable")
-    best, best_share = np.full(len(texts), -np.inf), share
-    for size in range(1, min(many, 4) + 1):
-        inside = np.zeros_like(share)
-        np.put_along_axis(inside, order[:, :size], 1.0, 1)
-        start = inside * np.maximum(share, 1e-6)
-        found, fit = _em(counts, model.prob, start / start.sum(1, keepdims=True), model.prior, model.rounds)
-        value = fit - model.penalty * (size - 1) * np.log(n + 1)
-        take = value > best
-        best, best_share = np.where(take, value, best), np.where(take[:, None], found, best_share)
+    best_share, share = chosen(model, counts)
+    many = len(model.languages)
     alone = counts @ np.log(model.prob).T + np.log(model.prior)
     top = best_share.argmax(1)
     other = alone.copy()
@@ -162,7 +177,7 @@ def language(model: Model, text: Column, df: DataFrame) -> Column:
     ``und`` with score 0 for a null text or one without a letter.
     """
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most max_languages x bins numbers
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
     @F.pandas_udf("lang_pred string, score double, languages string")
     def told(texts: pd.Series) -> pd.DataFrame:
@@ -180,8 +195,9 @@ def held_out(id_col: Column) -> Column:
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """One row for each row of ``docs``: id, held_out, lang_pred, score, languages.
 
-    Learns from the rows that are not held out.  Repeated rows are all returned; with
-    no labelled row every language is ``und``.  Columns besides id, text and language are ignored.
+    Learns from the rows that are not held out.  Null texts and texts without a letter are ``und`` with score 0.
+    Repeated rows are all returned; with no labelled row every language is ``und``; an empty table gives no
+    rows.  Columns besides id, text and language are ignored.
     """
     model = train(docs, id_col, text_col, lang_col, ~held_out(F.col(id_col)), **options)
     rows = own(docs, id=id_col, text=text_col)
@@ -193,15 +209,16 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with a known language whose score reaches ``min_score``; all columns stay.
 
     Null texts, texts without a letter and those that fit no learned language go
-    (``told_apart``).  Repeated rows are judged alike.  An empty table gives no rows.
+    (``told_apart``).  Repeated rows are judged alike.  All columns stay, whatever they are called.  An empty
+    table gives no rows.
     """
     model = train(docs, id_col, text_col, lang_col, ~held_out(F.col(id_col)), **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_languages x DIM numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
     @F.pandas_udf("lang_pred string, score double")
     def told(texts: pd.Series) -> pd.DataFrame:
         parts = [told_apart(shared.value, list(texts[i : i + 128])) for i in range(0, len(texts), 128)] or [([], np.zeros(0))]
         return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts])})
 
-    rows = docs.withColumn("__told", told(F.col(text_col)))
-    return rows.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= min_score)).drop("__told")
+    rows = packed_rows(docs, told=told(F.col(f"`{text_col}`")))
+    return unpacked(rows.where((F.col("told.lang_pred") != UNKNOWN) & (F.col("told.score") >= min_score)), docs.columns)
