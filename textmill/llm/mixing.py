@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.scratch import own, stash
+from textmill.llm.scratch import own, packed_rows, stash, unpacked
 from textmill.llm.words import first_words, n_words
 
 HASH_BITS = 60
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weighting=cycled_weights, most: int = 3, length_col: str | None = "n_chars") -> DataFrame:
-    """The mix itself: rows of ``docs`` repeated as often as it takes them, all columns kept.
+    """The mix itself: rows of ``docs`` repeated as often as it takes them, all columns kept, whatever they are called.
 
     The boundary document's last copy is its first words up to the budget; ``length_col``,
     if the table has it, is set to that text's length.  Texts without words follow their
@@ -130,20 +130,20 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = own(docs, id=id_col, source=source_col, text=text_col)
     sized = stash(rows.select("source", id_hash(F.col("id")).alias("h"), n_words(F.col("text")).alias("size")), "mix-sizes")
-    cuts = thresholds(sized, weighting, most).select(F.struct("source", "copies", "cut", "need", "atom").alias("__mix"))
-    cut = F.col("__mix.cut")
-    out = docs.withColumn("__h", id_hash(F.col(id_col))).join(cuts, F.col(source_col).eqNullSafe(F.col("__mix.source")))
-    size = n_words(F.col(text_col)).cast("double")
-    part = F.when(F.col("__h") == cut, F.floor(size * F.col("__mix.need") / F.col("__mix.atom")).cast("long")).otherwise(0)
-    whole = F.col("__mix.copies") + F.when(F.col("__h") < cut, 1).otherwise(0)
-    out = out.withColumn("__whole", whole).withColumn("__part", part)
-    copies = F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)
-    out = out.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    cut_off = F.col("__copy") > F.col("__whole")
-    out = out.withColumn(text_col, F.when(cut_off, first_words(F.col(text_col), F.col("__part"))).otherwise(F.col(text_col)))
+    cuts = thresholds(sized, weighting, most).withColumnRenamed("source", "of")
+    held = packed_rows(docs, h=id_hash(F.col(f"`{id_col}`")), source=source_col)
+    out = held.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("text", F.col("row").getField(text_col))
+    part = F.when(F.col("h") == F.col("cut"), _part(n_words(F.col("text")))).otherwise(0)
+    out = out.withColumn("whole", F.col("copies") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)).withColumn("part", part)
+    copies = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
+    out = out.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    cut_off = F.col("copy") > F.col("whole")
+    said = F.when(cut_off, first_words(F.col("text"), F.col("part"))).otherwise(F.col("text"))
+    changed = {text_col: said}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(cut_off, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        length = F.col("row").getField(length_col)
+        changed[length_col] = F.when(cut_off, F.length(said)).otherwise(length).cast(docs.schema[length_col].dataType)
+    return unpacked(out, docs.columns, **changed)
 
 
 def oracle_sql(cycle: tuple[int, ...] = (1, 2, 3), most: int = 3) -> str:

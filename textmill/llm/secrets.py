@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.folds import running
-from textmill.llm.scratch import UID, own, stash, with_uid
+from textmill.llm.scratch import UID, own, packed_rows, stash, unpacked, with_uid
 
 #: Kinds in the order that breaks ties between spans with one start.
 KINDS = ("assign", "access", "hex", "token")
@@ -133,33 +133,38 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), length_col: str | None = "n_chars", mask: str = "[SECRET]", example_owners: int = 3, example_repos: int = 5) -> DataFrame:
     """``docs`` with the spans of every text replaced by ``mask``; overlapping spans get one.
 
-    All rows and columns stay; ``length_col``, if the table has it, follows the text.  Null texts stay
+    All rows and columns stay, whatever they are called; ``length_col``, if the table has it, follows the text.  Null texts stay
     null.  Repeated rows are masked alike.  An empty table gives no rows.
     """
-    held = with_uid(docs)
+    columns = docs.columns
+    base = F.array_sort(F.concat(*[find(F.col("text"), k) for k in KINDS[:3]]))
+    tokens = F.filter(find(F.col("text"), "token"), lambda s: s["live"])
     owner = F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit(""))
     repo = F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in repo_cols])
-    text = F.col(f"`{text_col}`")
-    base = F.array_sort(F.concat(*[find(text, k) for k in KINDS[:3]]))
-    tokens = F.filter(find(text, "token"), lambda s: s["live"])
-    held = stash(held.withColumn("__found", F.struct(owner.alias("owner"), repo.alias("repo"), base.alias("base"), tokens.alias("tokens"))), "redact-input")
-    hit = (F.size("__found.base") > 0) | (F.size("__found.tokens") > 0)
-    scanned = held.where(hit).select(UID, "__found.owner", "__found.repo", "__found.base", "__found.tokens")
-    spans = _spans(scanned, example_owners, example_repos).select(UID, F.col("spans").alias("__spans"))
-    marked = held.where(hit).drop("__found").join(spans, UID)
+    held = packed_rows(docs, text=text_col, owner=owner, repo=repo)
+    held = with_uid(held.select("row", "owner", "repo", base.alias("base"), tokens.alias("tokens")))
+    held = stash(held, "redact-input")
+    hit = (F.size("base") > 0) | (F.size("tokens") > 0)
+    spans = _spans(held.where(hit).select(UID, "owner", "repo", "base", "tokens"), example_owners, example_repos).select(UID, "spans")
+    marked = held.where(hit).select(UID, "row").join(spans, UID)
     state = "struct<start: int, before: int, end: int>"
-    merged = running(F.col("__spans"), F.struct(F.lit(-1), F.lit(0), F.lit(0)), lambda s, x: F.struct(x["start"].alias("start"), s["end"].alias("before"), F.greatest(s["end"], x["end"]).alias("end")), state)
-    pieces = F.transform(
-        F.col("__merged"),
-        lambda s: F.when(s["start"] >= s["before"], F.concat(F.substring(text, s["before"] + 1, s["start"] - s["before"]), F.when((s["start"] == s["before"]) & (s["before"] > 0), F.lit("")).otherwise(F.lit(mask)))).otherwise(F.lit("")),
-    )
-    rest = F.substring(text, F.element_at("__merged", -1)["end"] + 1, F.length(text))
-    marked = marked.withColumn("__merged", merged)
-    marked = marked.withColumn(text_col, F.when(F.size("__merged") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text))
-    if length_col in docs.columns:
-        marked = marked.withColumn(length_col, F.length(text).cast(docs.schema[length_col].dataType))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return held.where(~hit).select(*names).unionAll(marked.select(*names))
+    merged = running(F.col("spans"), F.struct(F.lit(-1), F.lit(0), F.lit(0)), lambda s, x: F.struct(x["start"].alias("start"), s["end"].alias("before"), F.greatest(s["end"], x["end"]).alias("end")), state)
+    text = F.col("row").getField(text_col)
+
+    def piece(s: Column) -> Column:
+        """The text before a span and the mask; no second mask where a span touches the one before it."""
+        masked = F.when((s["start"] == s["before"]) & (s["before"] > 0), F.lit("")).otherwise(F.lit(mask))
+        gap = F.substring(text, s["before"] + 1, s["start"] - s["before"])
+        return F.when(s["start"] >= s["before"], F.concat(gap, masked)).otherwise(F.lit(""))
+
+    rest = F.substring(text, F.element_at("merged", -1)["end"] + 1, F.length(text))
+    marked = marked.withColumn("merged", merged)
+    said = F.when(F.size("merged") > 0, F.concat(F.array_join(F.transform("merged", piece), ""), rest)).otherwise(text)
+    marked = marked.select("row", said.alias("said"))
+    changed = {text_col: F.col("said")}
+    if length_col in columns:
+        changed[length_col] = F.length("said").cast(docs.schema[length_col].dataType)
+    return unpacked(held.where(~hit), columns).unionAll(unpacked(marked, columns, **changed))
 
 
 def oracle_sql(example_owners: int = 3, example_repos: int = 5) -> str:
