@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from textmill.llm.scratch import own, stash
 
-QUERY_TILE, TILE, FAN_IN = 1024, 2048, 16
-_TILE = "tile long, dim int, ids binary, matrix binary"
+QUERY_TILE, TILE, FAN_IN = 2048, 4096, 16
+_TILE = "tile long, dim int, rows binary, ids binary, size int, matrix binary"
 _LISTS = "query_tile long, dim int, shard long, query_ids binary, ids binary, scores binary, k int"
 
 
@@ -27,27 +27,38 @@ def scaled(vector: Column, scale: int) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
+def narrowed(matrix: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them all."""
+    low, high = matrix.min(initial=0), matrix.max(initial=0)
+    return matrix.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _matrix(raw: bytes, size: int, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"i{size}").reshape(rows, dim)
+
+
 def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows of one tile and dimension, as one row."""
-    matrix = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), key[1])
-    return pd.DataFrame({"tile": [key[0]], "dim": [key[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]})
+    matrix = narrowed(np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), key[1]))
+    numbers = {c: [pdf[k].to_numpy(np.int64).tobytes()] for c, k in (("rows", "n"), ("ids", "id"))}
+    return pd.DataFrame({"tile": [key[0]], "dim": [key[1]], **numbers, "size": [matrix.itemsize], "matrix": [matrix.tobytes()]})
 
 
 def _tiles(rows: DataFrame, rows_each: int, name: str) -> tuple[DataFrame, int]:
-    """Rows dealt by a hash of their number into tiles of about ``rows_each``, and the number of tiles."""
-    held = stash(rows.withColumn("n", F.monotonically_increasing_id()), f"{name}-rows")
-    many = max(1, -(-held.count() // rows_each))
-    dealt = held.withColumn("tile", F.pmod(F.xxhash64("n"), F.lit(many))).withColumn("dim", F.size("v"))
-    return stash(dealt.select("tile", "dim", "id", "v").groupBy("tile", "dim").applyInPandas(_pack, _TILE), name), many
+    """Rows (n, id, v) dealt by a hash of their number into tiles of about ``rows_each``, and the number of tiles."""
+    many = max(1, -(-rows.count() // rows_each))
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("n"), F.lit(many))).withColumn("dim", F.size("v"))
+    return stash(dealt.select("tile", "dim", "n", "id", "v").groupBy("tile", "dim").applyInPandas(_pack, _TILE), name), many
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products: by floating point where every sum is exact, else by integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    # Wide first: the least integer of a type has no absolute value in it.
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
     if most < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if most < 2**63:
-        return q @ c.T
+        return q.astype(np.int64) @ c.astype(np.int64).T
     return np.clip(q.astype(object) @ c.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
@@ -67,14 +78,14 @@ def _meet(k: int):
         for pdf in batches:
             for r in pdf.itertuples():
                 qids, ids = np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q = np.frombuffer(r.query_matrix, np.int64).reshape(len(qids), r.dim)
-                c = np.frombuffer(r.matrix, np.int64).reshape(len(ids), r.dim)
+                asking, rows = np.frombuffer(r.query_rows, np.int64), np.frombuffer(r.rows, np.int64)
+                q, c = _matrix(r.query_matrix, r.query_size, len(qids), r.dim), _matrix(r.matrix, r.size, len(ids), r.dim)
                 out_ids, out_scores = np.zeros((len(qids), k), np.int64), np.full((len(qids), k), -1, np.int64)
                 count = np.zeros(len(qids), np.int64)
                 for at in range(0, len(qids), 256):
                     scores = products(q[at : at + 256], c)
                     for i in range(len(scores)):
-                        other = ids != qids[at + i]
+                        other = rows != asking[at + i]
                         own_scores, own_ids = (scores[i], ids) if other.all() else (scores[i][other], ids[other])
                         best = _best(own_scores, own_ids, k)
                         count[at + i] = len(best)
@@ -116,19 +127,17 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, query_tile: int = QUERY_TILE, tile: int = TILE) -> DataFrame:
     """Each query's k best candidates by integer inner product: query_id, rank, vec_id, score.
 
-    Components become floor(scale * x).  Candidates of a query are all rows but those
-    with its id; ties go to the smaller id.  Rows whose id or vector is null, or whose vector holds a
+    Components become floor(scale * x).  Candidates of a query are all rows but its
+    own; ties go to the smaller id.  Rows whose id or vector is null, or whose vector holds a
     null or non-finite component, take no part.  Vectors meet those of their own
-    dimension.  Repeated rows are candidates each for itself; a repeated query id
-    asks once, with the smallest of its vectors.  An empty table gives no rows.
-    Scores beyond 64 bits are held at its ends.
+    dimension.  Rows with a repeated id are queries and candidates each for itself.  An empty table
+    gives no rows.  Scores beyond 64 bits are held at its ends.
     """
     rows = own(vectors, id=id_col, v=scaled(F.col(f"`{vector_col}`"), scale), q=F.coalesce(is_query, F.lit(False)))
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    shards, n_shards = _tiles(rows.select("id", "v"), tile, "tiles")
-    queries, n_queries = _tiles(asked, query_tile, "query-tiles")
-    wanted = queries.select(F.col("tile").alias("query_tile"), "dim", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    rows = stash(rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).withColumn("n", F.monotonically_increasing_id()), "vectors")
+    shards, n_shards = _tiles(rows.select("n", "id", "v"), tile, "tiles")
+    queries, n_queries = _tiles(rows.where("q").select("n", "id", "v"), query_tile, "query-tiles")
+    wanted = queries.select(F.col("tile").alias("query_tile"), "dim", *[F.col(c).alias(f"query_{c}") for c in ("rows", "ids", "size", "matrix")])
     parts = max(1, min(n_shards * n_queries, 10_000))
     # Tiles, not rows, meet: as many pairs as the matrix products that the answer is made of.
     names = shards.select("tile", "dim").join(wanted.select("query_tile", "dim"), "dim")
@@ -143,13 +152,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 def oracle_sql(k: int = 20, every: int = 20, scale: int = 64) -> str:
     """DuckDB SQL for ``embeddings``: all pairs of queries and candidates."""
     return f"""
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.n <> c.n AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}
 """
