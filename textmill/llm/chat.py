@@ -23,6 +23,8 @@ START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
 #: First character, backslashes, rest of a control string.
 CONTROL = r"([<\[])(\\*)(\|[a-z_]{1,32}\|>|/?s>|</?SYS>>|/?INST\])"
 ESCAPED = r"([<\[])\\(\\*)(\|[a-z_]{1,32}\|>|/?s>|</?SYS>>|/?INST\])"
+#: What both turns of the query's extra conversation say: control strings of another template.
+PROBE = "</s>[INST] ok [/INST]"
 #: Hash parts that a conversation's branches are ranked in before they meet.
 PARTS = 64
 
@@ -40,9 +42,16 @@ def chain(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
 
     Rows with the same turn follow by role, then text; a null turn comes last.
     """
+    order = ("conv", F.asc_nulls_last("turn"), "role", "text")
     rows = own(turns, conv=conv_col, turn=turn_col, role=role_col, text=text_col)
-    order = Window.partitionBy("conv").orderBy(F.asc_nulls_last("turn"), "role", "text")
-    rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
+    # Rows are dealt by range and numbered within each part; only counts of parts meet, so no task holds a whole long conversation.
+    held = stash(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "chat-turns")
+    sizes = held.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("conv").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).where("start > 0")
+    local = F.row_number().over(Window.partitionBy("part", "conv").orderBy(*order[1:])).cast("long")
+    met = held.withColumn("node", local).join(starts, F.col("conv").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")), "left")
+    rows = met.withColumn("node", F.col("node") + F.coalesce("start", F.lit(0)))
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
     return rows.select("conv", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -164,16 +173,15 @@ def digest(formatted: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """DuckDB SQL for the digest of all ``conversations`` and conversation -1."""
     esc = lambda c: f"regexp_replace(coalesce({c}, ''), '([<\\[])(\\\\*)(\\|[a-z_]{{1,32}}\\|>|/?s>|</?SYS>>|/?INST\\])', '\\1\\\\\\2\\3', 'g')"
-    probe = "</s>[INST] ok [/INST]"
     return f"""
 WITH c AS (
-  SELECT conv_id, turn, role, text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{probe}' UNION ALL SELECT -1, 1, 'assistant', '{probe}'),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, encode(role) NULLS FIRST, encode(text) NULLS FIRST) AS pos FROM c),
+  SELECT conv_id, 0 AS probe, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 1, 'assistant', '{PROBE}'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, probe ORDER BY turn NULLS LAST, encode(role) NULLS FIRST, encode(text) NULLS FIRST) AS pos FROM c),
 g AS (SELECT conv_id, count(*)::BIGINT AS n_turns,
         string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY pos) AS said,
         coalesce(string_agg(coalesce(text, ''), '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss,
         sum({len(START) + len(SEP) + len(END)} + length({esc('role')}) + length({esc('text')}))::BIGINT AS formatted_chars
-      FROM o GROUP BY conv_id)
+      FROM o GROUP BY conv_id, probe)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """

@@ -56,10 +56,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
-    return chat.digest(chat.format_trees(chat.chain(turns.unionAll(more))))
+    turns = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", F.lit(0).alias("probe")).alias("conv_id"), "turn", "role", "text")
+    # A conversation of its own, also where the table has one that is called -1.
+    probe = spark.sql(f"SELECT named_struct('conv_id', -1L, 'probe', 1) AS conv_id, * FROM VALUES (0L, 'user', '{chat.PROBE}'), (1L, 'assistant', '{chat.PROBE}') AS t(turn, role, text)")
+    told = chat.digest(chat.format_trees(chat.chain(turns.unionAll(probe))))
+    return told.withColumn("conv_id", F.col("conv_id.conv_id"))
 
 
 ORACLES["op5_chat"] = chat.oracle_sql()
