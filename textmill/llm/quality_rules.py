@@ -1,17 +1,21 @@
 """Quality rules: base rules and robust multivariate outliers.
 
-Each text's statistics are transformed into a vector.  For each language, and
-within it for each source, minimum-covariance-determinant estimates of centre and
-scatter are found by concentration steps from a deterministic start (medians and
-median absolute deviations): rows are ordered by Mahalanobis distance, the
-nearest ``PART`` of each group make the next estimate, until the steps end.  Distances are ordered
-by a fine logarithmic histogram for each group, so a step is two grouped sums
-over a narrow table; nothing is sorted and no group is gathered.  Small groups
-lean on their language's estimate.  Vectors beyond the cut are rejected.
+Each text's statistics are transformed into a vector.  For each language, and for each source
+within it, minimum-covariance-determinant estimates of centre and scatter are sought: from each
+of four starts, the nearest ``PART`` of a group's rows by Mahalanobis distance make the next
+estimate until its determinant falls no further, and the least determinant of all starts stands.
+Distances are ordered by a fine logarithmic histogram for each group, and each of its
+bins carries its rows' moments, so a step is one grouped sum over a narrow table; nothing is sorted and
+no group is gathered.  Sources lean on their language's estimate as if it were ``LEAN`` rows more.
+Vectors beyond the cut are rejected.
+
+What a language's short texts are drawn to, and below what its scatter is never taken to be, come from its medians.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -22,20 +26,20 @@ from pyspark.sql import functions as F
 
 from textmill.llm.scratch import UID, drop, own, small_batches, stash, with_uid
 
-#: Part of a group's rows that an estimate rests on.
-PART = 0.75
-STEPS = 4
-#: Rows that a source's own estimate must have to weigh as much as its language's.
+#: Part of a group's rows that an estimate rests on, and the least fall of a log determinant that is worth another step.
+PART, FALL = 0.75, 1e-6
+#: A source leans on its language's estimate as if that were so many rows more.
 LEAN = 50
 #: Tail of the chi-squared distribution beyond which a vector is rejected.
 TAIL = 1e-6
 FEATURES = ("word_length", "symbols", "other", "upper", "marks")
-#: Least standard deviation of each feature; scatter is never taken to be smaller.
-FLOORS = (0.35, 0.06, 0.07, 0.05, 0.07)
-#: Values that short texts are drawn to, as if they had ``DRAW`` more words of this kind.
-USUAL, DRAW = (5.0, 0.0, 0.18, 0.13, 0.38), 15
+#: Short texts are drawn to their language's medians, as if they had so many words more of that kind.
+DRAW = 30
+#: No scatter is taken to be smaller than what one character in a hundred changes.
+GRAIN = 0.01
 _SYMBOLS, _MARKS = np.frombuffer(b"#*$%&|<>", np.uint8), np.frombuffer(b".,;:!?", np.uint8)
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_marks long"
+_BEYOND = re.compile("[^\x00-\x7f]")
 _SPACE = np.frombuffer(b" \t\n\v\f\r", np.uint8)
 
 
@@ -74,7 +78,8 @@ def statistics(text: str | None) -> tuple[int, ...]:
     raw = text.encode()
     counts, words = byte_counts(raw), raw.split()
     upper, lower = counts[65:91].sum(), counts[97:123].sum()
-    beyond = counts[0xC0:].sum()
+    # Code points beyond ASCII are counted as letters only if they are.
+    beyond = sum(n for c, n in Counter(_BEYOND.findall(text)).items() if c.isalpha()) if counts[0x80:].any() else 0
     points = len(raw) - counts[0x80:0xC0].sum()
     return (len(words), int(points - counts[_SPACE].sum()), int(counts[_SYMBOLS].sum()), duplicate_lines(text), repeated_words(words), int(upper), int(upper + lower + beyond), int(counts[_MARKS].sum()))
 
@@ -88,17 +93,31 @@ def statistics_column(text: Column) -> Column:
     return told(text)
 
 
-def vector() -> dict[str, Column]:
-    """Transformed statistics; shares are square-rooted, symbols saturate, short texts are drawn to the usual."""
-    n, chars = F.col("n_words").cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    raw = {
-        "word_length": chars / F.greatest(n, F.lit(1.0)),
-        "symbols": F.log1p(F.col("n_symbols") / F.greatest(n, F.lit(1.0))),
+def raw_features() -> dict[str, Column]:
+    """Transformed statistics of a text; shares are square-rooted, symbols saturate."""
+    n, chars = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
+    return {
+        "word_length": chars / n,
+        "symbols": F.log1p(F.col("n_symbols") / n),
         "other": F.sqrt(F.greatest(1 - (F.col("n_letters") + F.col("n_symbols")) / chars, F.lit(0.0))),
         "upper": F.sqrt(F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))),
-        "marks": F.sqrt(F.col("n_marks") / F.greatest(n, F.lit(1.0))),
+        "marks": F.sqrt(F.col("n_marks") / n),
     }
-    return {k: (v * n + usual * DRAW) / (n + DRAW) for (k, v), usual in zip(raw.items(), USUAL, strict=True)}
+
+
+def usual_and_floors(rows: DataFrame) -> DataFrame:
+    """(of_lang, features) -> (of_lang, usual, floors): medians of each language, and what ``GRAIN`` changes there."""
+    middle = rows.groupBy("of_lang").agg(*[F.percentile_approx(f, 0.5).alias(f) for f in FEATURES])
+    grown = lambda f, by: F.sqrt(F.col(f) * F.col(f) + by) - F.col(f)
+    word = F.col("word_length") * GRAIN
+    floors = F.array(word, F.log1p(word), grown("other", F.lit(GRAIN)), grown("upper", F.lit(GRAIN)), grown("marks", word))
+    return middle.select("of_lang", F.array(*FEATURES).alias("usual"), F.transform(floors, lambda x: F.greatest(x, F.lit(1e-6))).alias("floors"))
+
+
+def drawn() -> dict[str, Column]:
+    """Features drawn to ``usual``, the less the longer a text is."""
+    n = F.col("n_words").cast("double")
+    return {f: (F.col(f) * n + F.element_at("usual", i + 1) * DRAW) / (n + DRAW) for i, f in enumerate(FEATURES)}
 
 
 def chi2_quantile(q: float, p: int) -> float:
@@ -123,85 +142,138 @@ def _distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _joined(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
-    named = estimates.select(*[F.col(k).alias(f"at_{k}") for k in keys], "centre", "inverse")
-    on = [F.col(k).eqNullSafe(F.col(f"at_{k}")) for k in keys]
-    return rows.join(named, on)
-
-
-def _estimates(moments: DataFrame, keys: list[str], types: dict[str, str]) -> DataFrame:
-    """Moments (and the language's estimate, if there is one) -> centre, scatter and its inverse."""
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["centre array<double>", "scatter array<double>", "inverse array<double>"])
-
-    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                n = max(r["n"], 1)
-                centre = np.array([r[f"s{i}"] for i in range(_P)]) / n
-                scatter = np.zeros((_P, _P))
-                for i, j in _PAIRS:
-                    scatter[i, j] = scatter[j, i] = CONSISTENCY * (r[f"s{i}_{j}"] / n - centre[i] * centre[j])
-                if r.get("base_centre") is not None:
-                    base = np.array(r["base_scatter"]).reshape(_P, _P)
-                    lean = LEAN / (n + LEAN)
-                    centre = (centre * n + np.array(r["base_centre"]) * LEAN) / (n + LEAN)
-                    scatter = (1 - lean) * scatter + lean * base
-                low = np.diag(np.maximum(np.array(FLOORS) ** 2 - np.diag(scatter), 0))
-                inverse = np.linalg.inv(scatter + low + 1e-6 * np.eye(_P))
-                out.append({k: r[k] for k in keys} | {"centre": centre.tolist(), "scatter": (scatter + low).ravel().tolist(), "inverse": [float(inverse[i, j]) for i, j in _PAIRS]})
-            yield pd.DataFrame(out, columns=[*keys, "centre", "scatter", "inverse"])
-
-    return moments.mapInPandas(solved, schema)
-
-
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
-    sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i, j in _PAIRS]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
-
-
-def _concentrate(rows: DataFrame, estimates: DataFrame, keys: list[str], types: dict[str, str], base: DataFrame | None) -> DataFrame:
-    """One step: the estimate from each group's nearest rows."""
-    at = _joined(rows, estimates, keys).withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-9)).cast("int")).drop(*[f"at_{k}" for k in keys], "centre", "inverse")
-    counts = at.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("bin")
-    counts = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-    cut = counts.where(F.col("upto") >= F.col("all") * PART).groupBy(*[F.col(k).alias(f"at_{k}") for k in keys]).agg(F.min("bin").alias("cut"))
-    near = at.join(cut, [F.col(k).eqNullSafe(F.col(f"at_{k}")) for k in keys]).where("bin <= cut")
-    moments = _moments(near, keys)
-    if base is not None:
-        known = base.select(F.col("lang").alias("at_lang"), F.col("centre").alias("base_centre"), F.col("scatter").alias("base_scatter"))
-        moments = moments.join(known, F.col("lang").eqNullSafe(F.col("at_lang"))).drop("at_lang")
-    return stash(_estimates(moments, keys, types), "mcd")
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and squared median absolute deviations of each language, as a first estimate."""
-    middle = rows.groupBy(F.col("lang").alias("at_lang")).agg(*[F.percentile_approx(f, 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    off = rows.join(middle, F.col("lang").eqNullSafe(F.col("at_lang")))
-    spread = off.groupBy("lang", *[f"m{i}" for i in range(_P)]).agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, f in enumerate(FEATURES)])
-    deviation = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(low)) for i, low in enumerate(FLOORS)]
-    inverse = [1 / (deviation[i] * deviation[i]) if i == j else F.lit(0.0) for i, j in _PAIRS]
-    return stash(spread.select("lang", F.array(*[f"m{i}" for i in range(_P)]).alias("centre"), F.array(*inverse).alias("inverse")), "mcd-start")
-
-
-def fit(rows: DataFrame) -> DataFrame:
-    """(lang, source, features) -> (lang, source, centre, scatter, inverse) of each language's sources."""
-    types = dict(rows.dtypes)
-    by_lang = _start(rows)
-    for _ in range(STEPS):
-        before, by_lang = by_lang, _concentrate(rows, by_lang, ["lang"], types, None)
-        drop(before)
-    groups = rows.select("lang", "source").distinct()
-    named = by_lang.select(F.col("lang").alias("at_lang"), "centre", "inverse")
-    out = stash(groups.join(named, F.col("lang").eqNullSafe(F.col("at_lang"))).drop("at_lang"), "mcd-sources")
-    for _ in range(STEPS):
-        before, out = out, _concentrate(rows, out, ["lang", "source"], types, by_lang)
-        drop(before)
+def _moments(values: list[Column], name: str = "s") -> list[Column]:
+    sums = [F.sum(v).alias(f"{name}{i}") for i, v in enumerate(values)]
+    return sums + [F.sum(values[i] * values[j]).alias(f"{name}{i}_{j}") for i, j in _PAIRS]
+
+
+def _spread(row: dict, name: str, n: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from the sums of n rows."""
+    centre = np.array([row[f"{name}{i}"] for i in range(_P)]) / n
+    scatter = np.zeros((_P, _P))
+    for i, j in _PAIRS:
+        scatter[i, j] = scatter[j, i] = row[f"{name}{i}_{j}"] / n - centre[i] * centre[j]
+    return centre, scatter
+
+
+def settled(scatter: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """A scatter that is nowhere below the floors, the upper triangle of its inverse, its log determinant."""
+    scatter = scatter + np.diag(np.maximum(floors**2 - np.diag(scatter), 0)) + 1e-9 * np.eye(_P)
+    inverse = np.linalg.inv(scatter)
+    return scatter, np.array([inverse[i, j] for i, j in _PAIRS]), float(np.linalg.slogdet(scatter)[1])
+
+
+_ESTIMATE = "g string, start int, n long, centre array<double>, scatter array<double>, inverse array<double>, det double, open boolean, floors array<double>"
+
+
+def _estimate(row: dict, start: int, n: int, centre: np.ndarray, scatter: np.ndarray, before: float | None) -> dict:
+    floors = np.array(row["floors"])
+    scatter, inverse, det = settled(scatter, floors)
+    open_ = before is None or det < before - FALL
+    return {"g": row["g"], "start": start, "n": n, "centre": centre.tolist(), "scatter": scatter.ravel().tolist(), "inverse": inverse.tolist(), "det": det, "open": open_, "floors": floors.tolist()}
+
+
+def _begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Four starts of each group: medians with squared deviations, with correlations of tanh scores or of spatial signs, and plain moments."""
+    for pdf in batches:
+        out = []
+        for r in pdf.to_dict("records"):
+            n = max(r["n"], 1)
+            middle, scale = np.array(r["middle"]), np.array(r["scale"])
+            bent = _spread(r, "t", n)[1]
+            sd = np.sqrt(np.maximum(np.diag(bent), 1e-12))
+            bent = bent / np.outer(sd, sd)
+            np.fill_diagonal(bent, 1)
+            signs = _spread(r, "u", n)
+            signs = (signs[1] + np.outer(signs[0], signs[0])) * _P
+            starts = [(middle, np.diag(scale**2)), (middle, bent * np.outer(scale, scale)), (middle, signs * np.outer(scale, scale)), _spread(r, "s", n)]
+            out += [_estimate(r, k, r["n"], *x, None) for k, x in enumerate(starts)]
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _ESTIMATE.split(", ")])
+
+
+def _stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for r in pdf.to_dict("records"):
+            centre, scatter = _spread(r, "s", max(r["n"], 1))
+            out.append(_estimate(r, r["start"], r["whole"], centre, CONSISTENCY * scatter, r["before"]))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _ESTIMATE.split(", ")])
+
+
+def _start(rows: DataFrame, floors: DataFrame) -> DataFrame:
+    values = [F.col(f) for f in FEATURES]
+    middle = rows.groupBy("g").agg(*[F.percentile_approx(f, 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES)])
+    off = rows.join(middle, "g")
+    far = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, f in enumerate(FEATURES)])
+    scales = far.join(middle, "g").join(floors, "g")
+    scale = F.array(*[F.greatest(1.4826 * F.col(f"d{i}"), F.element_at("floors", i + 1)) for i in range(_P)])
+    scales = stash(scales.select("g", "floors", F.array(*[f"m{i}" for i in range(_P)]).alias("middle"), scale.alias("scale")), "mcd-scales")
+    scores = rows.join(scales.select("g", "middle", "scale"), "g")
+    scores = scores.withColumns({f"z{i}": (v - F.element_at("middle", i + 1)) / F.element_at("scale", i + 1) for i, v in enumerate(values)})
+    z = [F.col(f"z{i}") for i in range(_P)]
+    scores = scores.withColumn("norm", F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9)))
+    sums = _moments(values) + _moments([F.tanh(x) for x in z], "t") + _moments([x / F.col("norm") for x in z], "u")
+    moments = scores.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums).join(scales, "g")
+    out = stash(moments.mapInPandas(_begun, _ESTIMATE), "mcd")
+    drop(scales)
     return out
 
 
+def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One step: each estimate from its group's nearest rows."""
+    at = rows.join(estimates.select("g", "start", "centre", "inverse"), "g").withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-9)).cast("int"))
+    bins = at.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *_moments([F.col(f) for f in FEATURES]))
+    by = Window.partitionBy("g", "start")
+    bins = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("whole", F.sum("n").over(by))
+    near = bins.where(F.col("upto") - F.col("n") < F.col("whole") * PART)
+    names = ["n", *[f"s{i}" for i in range(_P)], *[f"s{i}_{j}" for i, j in _PAIRS]]
+    moments = near.groupBy("g", "start").agg(F.max("whole").alias("whole"), *[F.sum(c).alias(c) for c in names])
+    moments = moments.join(estimates.select("g", "start", F.col("det").alias("before"), "floors"), ["g", "start"])
+    return stash(moments.mapInPandas(_stepped, _ESTIMATE), "mcd")
+
+
+def minimum_determinants(rows: DataFrame, floors: DataFrame) -> DataFrame:
+    """(g, features) and (g, floors) -> (g, n, centre, scatter, floors): the estimate of least determinant of each group."""
+    now, found = _start(rows, floors), None
+    while True:
+        now = _concentrate(rows, now.where("open"))
+        found = now if found is None else found.unionAll(now)
+        if now.where("open").isEmpty():
+            break
+    best = F.min_by(F.struct("n", "centre", "scatter", "floors"), F.struct("det", "start"))
+    return found.groupBy("g").agg(best.alias("e")).select("g", "e.*")
+
+
+def _leaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for r in pdf.to_dict("records"):
+            share = LEAN / (r["n"] + LEAN)
+            centre = (1 - share) * np.array(r["centre"]) + share * np.array(r["base_centre"])
+            scatter = (1 - share) * np.array(r["scatter"]) + share * np.array(r["base_scatter"])
+            inverse = settled(scatter.reshape(_P, _P), np.array(r["floors"]))[1]
+            out.append({"of_source": r["of_source"], "centre": centre.tolist(), "inverse": inverse.tolist()})
+        yield pd.DataFrame(out, columns=["of_source", "centre", "inverse"])
+
+
+def fit(rows: DataFrame, floors: DataFrame) -> DataFrame:
+    """(of_lang, of_source, features) and (of_lang, floors) -> (of_source, centre, inverse): each source's estimate."""
+    groups = stash(rows.select("of_lang", "of_source").distinct(), "mcd-groups")
+    named = groups.join(floors, "of_lang")
+    lows = named.select(F.col("of_lang").alias("g"), "floors").unionAll(named.select(F.col("of_source").alias("g"), "floors")).groupBy("g").agg(F.first("floors").alias("floors"))
+    each = rows.select(F.explode(F.array("of_lang", "of_source")).alias("g"), *FEATURES)
+    found = stash(minimum_determinants(each, stash(lows, "mcd-floors")), "mcd-least")
+    base = found.select(F.col("g").alias("of_lang"), F.col("centre").alias("base_centre"), F.col("scatter").alias("base_scatter"))
+    both = groups.join(found.withColumnRenamed("g", "of_source"), "of_source").join(base, "of_lang")
+    return stash(both.mapInPandas(_leaned, "of_source string, centre array<double>, inverse array<double>"), "mcd-sources")
+
+
+def _key(*columns: str) -> Column:
+    """A name of a group that no other group has, whatever its columns hold; nulls are groups of their own."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns]
+    return F.concat(F.lit(f"{len(columns)}/"), *parts)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
     """One row for each row of ``docs``: id, the base statistics, base_failed, distance, kept.
 
@@ -211,14 +283,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     fail.  Repeated rows are all returned.  An empty table gives no rows.  Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = own(docs, id=id_col, text=text_col, lang=lang_col, source=source_col)
+    lang, source = (F.col(f"`{c}`").cast("string") for c in (lang_col, source_col))
+    rows = own(docs, id=id_col, lang=lang, source=source, text=text_col)
     told = with_uid(rows.select("id", "lang", "source", statistics_column(F.col("text")).alias("told")))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    told = told.select(UID, "id", "lang", "source", "told.*")
+    told = told.select(UID, "id", _key("lang").alias("of_lang"), _key("lang", "source").alias("of_source"), "told.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    told = stash(told.withColumn("base_failed", failed).withColumns(vector()), "quality-statistics")
+    told = stash(told.withColumn("base_failed", failed).withColumns(raw_features()), "quality-statistics")
     rest = told.where(~F.col("base_failed"))
-    near = _joined(rest, fit(rest.select("lang", "source", *FEATURES)), ["lang", "source"])
+    usual = stash(usual_and_floors(rest), "quality-usual")
+    rest = stash(rest.join(usual.select("of_lang", "usual"), "of_lang").withColumns(drawn()).select("id", *stats, "base_failed", "of_lang", "of_source", *FEATURES), "quality-vectors")
+    near = rest.join(fit(rest.select("of_lang", "of_source", *FEATURES), usual.select("of_lang", "floors")), "of_source")
     cut = chi2_quantile(1 - tail, _P)
     good = near.select("id", *stats, "base_failed", _distance().alias("distance"), (_distance() <= cut).alias("kept"))
     bad = told.where("base_failed").select("id", *stats, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
