@@ -3,8 +3,8 @@
 Trusted positives and unlabelled web text train a linear model under the
 non-negative unbiased risk: with class prior p, the loss on unlabelled text as
 negative less p times the loss on positives as negative estimates the risk on negatives,
-and is held at no less than zero.  The prior is estimated from where a first
-positive-against-unlabelled model scores highest: there, unlabelled text is
+and is held at no less than zero.  The prior is estimated by the best bin: among the best-scored
+rows of a first positive-against-unlabelled model, on rows it has not seen, unlabelled text is
 as frequent as positives times the prior.  Features are counts of byte-class pairs and a few
 figures of repetition and length; the training sample is bounded.
 """
@@ -101,14 +101,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, penalty: float
     w, b = _descend(gradient, positive.shape[1], 150)
     if not len(p2) or not len(u2):
         return 0.5
-    sp, su = p2 @ w + b, u2 @ w + b
-    cuts = np.quantile(sp, np.linspace(0.02, 0.9, 45))
+    sp, su = np.sort(p2 @ w + b), np.sort(u2 @ w + b)
+    cuts = np.unique(sp)
+    above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (sp, su))
     slack = np.sqrt(1 / len(p2)) + np.sqrt(1 / len(u2))
-    shares = [((su >= c).mean(), (sp >= c).mean()) for c in cuts]
-    # The cut with the least upper confidence bound.  The lower side of its ratio is taken:
-    # a prior too high lets the non-negative risk pass all negatives over.
-    best = min((x for x in shares if x[1] > 0.1), key=lambda x: (x[0] + 2 * slack) / x[1], default=(0.5, 1.0))
-    return float(np.clip(best[0] / best[1] - slack / 2, 0.05, 0.99))
+    # The best bin: the cut whose ratio has the least upper confidence bound; the ratio there is the estimate.
+    best = np.argmin((above_u + (1 + np.sqrt(0.5)) * slack) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, penalty: float = 1e-4, rounds: int = 800) -> Model:
@@ -143,27 +142,29 @@ def _feature_column(text: Column) -> Column:
     return told(text)
 
 
-def _sample(rows: DataFrame, n: int) -> np.ndarray:
-    """Features of about ``n`` rows, picked by a hash of the id."""
-    share = min(1.0, n / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = [r[0] for r in picked.select(_feature_column(F.col("text"))).collect()]
-    return np.array(found, np.float32).reshape(len(found), WIDTH)
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Positives: rows outside the held-out fold whose every label is 1.  Unlabelled: all rows.
 
-    None if there is no positive.  About ``positives`` and ``unlabelled`` rows are read.
+    None if there is no positive or nothing unlabelled.  About ``positives`` and ``unlabelled`` rows are read, picked
+    by a hash of the id and a row number: repeated and null ids are picked row by row.
     """
     small_batches(docs.sparkSession)
-    rows = own(docs, id=id_col, text=text_col)
     marks = own(labels, at=id_col, mark=label_col).where(F.col("at").isNotNull() & ~held_out(F.col("at")))
-    trusted = marks.groupBy("at").agg(F.min("mark").alias("mark")).where("mark = 1")
-    p = _sample(rows.join(trusted, F.col("id") == F.col("at"), "left_semi"), positives)
-    if not len(p):
+    trusted = marks.groupBy("at").agg(F.min("mark").alias("mark")).where("mark = 1").select("at", F.lit(True).alias("good"))
+    marked = lambda rows: rows.join(trusted, F.col("id") == F.col("at"), "left")
+    many, good = marked(own(docs, id=id_col)).agg(F.count(F.lit(1)), F.count("good")).first()
+    if not good:
         return None
-    return fit_nnpu(p, _sample(rows, unlabelled))
+    whole = 1_000_000
+    rate_p, rate_u = (int(min(1.0, wanted / n) * whole) for wanted, n in ((positives, good), (unlabelled, many)))
+    part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.monotonically_increasing_id()), F.lit(whole))
+    # One pass over the texts: rows that neither sample can hold go before the join.
+    rows = own(docs, id=id_col, text=text_col).withColumn("part", part).where(F.col("part") < max(rate_p, rate_u))
+    in_p, in_u = F.col("good").isNotNull() & (F.col("part") < rate_p), F.col("part") < rate_u
+    picked = marked(rows).where(in_p | in_u).select(in_p.alias("p"), in_u.alias("u"), _feature_column(F.col("text")).alias("x"))
+    found = picked.collect()  # about ``positives`` and ``unlabelled`` rows
+    p, u = (np.array([r.x for r in found if r[k]], np.float32).reshape(-1, WIDTH) for k in ("p", "u"))
+    return fit_nnpu(p, u) if len(p) and len(u) else None
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, **bounds) -> DataFrame:
