@@ -148,8 +148,8 @@ def plain_shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
 
 
-@pytest.mark.parametrize("block", [similar.BLOCK, 3])
-def test_near_dedup_catches_similar_texts(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "dense"), [(similar.BLOCK, similar.DENSE), (3, 4), (3, 0)])
+def test_near_dedup_catches_similar_texts(spark, monkeypatch, block, dense):
     """The stage against all pairs, where most similar pairs differ in more than 3 bits."""
     import corpus_pipeline
 
@@ -184,6 +184,7 @@ def test_near_dedup_catches_similar_texts(spark, monkeypatch, block):
     assert wide > 50
     want = sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
     monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "DENSE", dense)
     got = corpus_pipeline.near_dedup(spark, docs(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == want
 
