@@ -459,7 +459,12 @@ def test_reports_and_errors(spark, tmp_path):
     assert validate.load_report(path=str(tmp_path / "none"))[1] and validate.load_report(output=str(tmp_path / "none")) == (None, None)
     (tmp_path / "x.layout.json").write_text("{")
     assert validate.load_report(output=str(tmp_path / "x"))[1]
-    assert validate.layout_failures({"notfit": {"count": 0}, "items": [{"status": "Not-Fit"}], "lost": "2"}) == ["report.items[0].status=Not-Fit", "report.lost"]
+    told = lambda report: spark.createDataFrame([(json.dumps(report),)], "r string").select(validate.layout_failures(F.col("r"))).first()[0]
+    assert told({"notfit": {"count": 0}, "items": [{"status": "Not-Fit"}], "lost": "2"}) == ["report.items[0].status=Not-Fit", "report.lost"]
+    quiet = [None, False, 0, -1, "", " OK ", "none", "0", "0.0", "-3", "nan", [], {}, {"count": 0}, {"total": {"value": "false"}}, {"items": []}]
+    loud = [True, 1, 0.5, "2", "yes", "inf", [0], {"x": 0}, {"count": 1}, {"blocks": ["a"]}, {"count": {"segments": [1]}}]
+    assert [x for x in quiet if told({"Not Fit": x})] == [] and [x for x in loud if told({"Not Fit": x}) != ["report.Not Fit"]] == []
+    assert told([{"state": "dropped"}, {"lost": {"lost": 1}}]) == ["report[0].state=dropped", "report[1].lost", "report[1].lost.lost"]
     reports = spark.createDataFrame([("d", json.dumps({"appendix_pages": "2", "overflow": [{"page": 3}, {"page": "x"}]})), ("e", json.dumps({"appendix_pages": 1, "lost": 1, "overflow": [{"page": 0}]}))], "doc_id string, report string")
     assert [tuple(r) for r in validate.overflow_pages(reports).collect()] == [("d", 3)]
     fonts = sources.font_table(spark, [("a", "A", True), ("a", "B", True), ("b", "B", False)])

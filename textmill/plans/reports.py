@@ -81,7 +81,7 @@ def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", F.size(T.logical_bullets(text)).alias("n_bullets"))
 
 
-@_query("""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 200), '[<>:"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
+@_query("""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[<>:"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) > 80 THEN rtrim(CASE WHEN contains(left(t, 80), ' ') THEN regexp_extract(left(t, 80), '^(.*) ', 1) ELSE left(t, 80) END) ELSE t END AS name FROM t""")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", T.safe_name(F.col("text")).alias("name"))
@@ -140,7 +140,7 @@ def image_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.groupBy("doc_id").agg(F.count(F.lit(1)).alias("unique_images")).join(extra, "doc_id")
 
 
-@_query("""WITH b AS (SELECT page_id, count(*) AS n, sum(length(x)) AS c FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(?:h1|p|b|li)>([^<]+)', 1)) AS x FROM pages) GROUP BY 1)
+@_query("""WITH b AS (SELECT page_id, count(*) AS n, sum(length(x)) AS c FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(?:h1|p|b|li|a)(?:[ \t\r\n][^>]*)?>([^<]+)', 1)) AS x FROM pages) GROUP BY 1)
 SELECT page_id AS doc_id, 1::BIGINT AS n_pages, c::BIGINT AS chars, n::INTEGER AS n_spans FROM b""")
 def document_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = sources.html_blocks(_read(spark, sf_dir, "pages"))
@@ -169,7 +169,7 @@ def grid_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_returnflag, string_agg(CASE WHEN n > 1 THEN num || 'x' || n ELSE num END, ', ' ORDER BY num) AS details FROM r WHERE rn <= 10 GROUP BY 1""")
 def counter_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").cast("string").alias("num")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("l_returnflag").agg(validate.counter_details("num", "n").alias("details"))
+    return validate.counter_details(rows, ["l_returnflag"], "num", "n")
 
 
 @_query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS cut FROM events),
