@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from textmill.config import HAN_COMPAT
 from textmill.functions import text as T
 from textmill.functions.jsonio import json_array
 from textmill.operators.batching import chunks
-from textmill.operators.translate import Backend
+from textmill.operators.translate import CALLS, Backend
 from textmill.scratch import stash
 
 BATCH = 64
@@ -34,39 +35,41 @@ def max_tokens(chars: int, batch: bool = True) -> int:
     return max(256, min(1200, chars * 4 + 240))
 
 
-def _batches(backend: Backend):
+def _batches(backend: Backend, workers: int):
+    def ask(texts) -> str | None:
+        try:
+            return backend.complete([{"role": "system", "content": BATCH_PROMPT}, {"role": "user", "content": json.dumps(list(texts), ensure_ascii=False)}])
+        except Exception:  # noqa: BLE001  the texts are asked for one by one then
+            return None
+
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for texts in pdf["texts"]:
-                try:
-                    out.append(backend.complete([{"role": "system", "content": BATCH_PROMPT}, {"role": "user", "content": json.dumps(list(texts), ensure_ascii=False)}]))
-                except Exception:  # noqa: BLE001  the texts are asked for one by one then
-                    out.append(None)
-            yield pdf.assign(texts=pdf["texts"].map(list), response=out)
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            for pdf in batches:
+                yield pdf.assign(texts=pdf["texts"].map(list), response=list(pool.map(ask, pdf["texts"])))
 
     return asked
 
 
-def _singles(backend: Backend):
+def _singles(backend: Backend, workers: int):
     import re
 
     han = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for value in pdf["value"]:
+    def ask(value: str) -> str:
+        said = value
+        for _ in range(STRICT_TRIES):
+            try:
+                said = backend.complete([{"role": "system", "content": STRICT_PROMPT}, {"role": "user", "content": value}]) or value
+            except Exception:  # noqa: BLE001  the text stays as it is
                 said = value
-                for _ in range(STRICT_TRIES):
-                    try:
-                        said = backend.complete([{"role": "system", "content": STRICT_PROMPT}, {"role": "user", "content": value}]) or value
-                    except Exception:  # noqa: BLE001  the text stays as it is
-                        said = value
-                    if not han.search(said):
-                        break
-                out.append(said)
-            yield pdf.assign(said=out)
+            if not han.search(said):
+                break
+        return said
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            for pdf in batches:
+                yield pdf.assign(said=list(pool.map(ask, pdf["value"])))
 
     return asked
 
@@ -80,13 +83,15 @@ def translate_cells(grid: DataFrame, backend: Backend, workers: int = 1, size: i
     cells = grid.where(F.col("value").rlike(f"[{HAN_COMPAT}]"))
     unique = chunks(unique_texts(cells), ["file", "line", "col"], size)
     asked = unique.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("file", "line", "col", "value"))), lambda x: x["value"]).alias("texts"))
-    said = stash(asked.repartition(workers).mapInPandas(_batches(backend), "chunk int, texts array<string>, response string"), "grid-batches")
+    asked = stash(asked, "grid-asked")
+    said = stash(asked.repartition(max(1, -(-asked.count() // CALLS))).mapInPandas(_batches(backend, workers), "chunk int, texts array<string>, response string"), "grid-batches")
     items = F.from_json(json_array(F.col("response")), "array<string>")
     pairs = said.withColumn("items", items).select(F.explode(F.arrays_zip("texts", F.when(F.size("items") == F.size("texts"), F.col("items")).otherwise(F.transform("texts", lambda _: F.lit(None).cast("string"))).alias("said"))).alias("z"))
     pairs = pairs.select(F.col("z.texts").alias("value"), F.col("z.said").alias("said"))
     first = pairs.withColumn("target", T.clean_cell(F.col("said"), F.col("value")))
     good = F.col("said").isNotNull() & ~F.col("target").rlike(f"[{HAN_COMPAT}]")
-    rest = first.where(~good).select("value").repartition(workers).mapInPandas(_singles(backend), "value string, said string")
+    rest = stash(first.where(~good).select("value"), "grid-rest")
+    rest = rest.repartition(max(1, -(-rest.count() // CALLS))).mapInPandas(_singles(backend, workers), "value string, said string")
     rest = stash(rest, "grid-singles").select("value", T.clean_cell(F.col("said"), F.col("value")).alias("target"))
     found = first.where(good).select("value", "target").unionByName(rest)
     return grid.join(found, "value", "left").select("file", "line", "col", F.coalesce("target", "value").alias("value"))

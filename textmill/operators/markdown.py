@@ -27,7 +27,7 @@ def translate_pages(pages: DataFrame, backend: Backend, s: Settings = Settings()
     todo = pages.join(ready.select("doc_id", "page"), ["doc_id", "page"], "left_anti") if ready is not None else pages
     blank = todo.where(T.strip(F.coalesce("text", F.lit(""))) == "").select("doc_id", "page", F.lit("").alias("markdown"))
     asked = todo.where(T.strip(F.coalesce("text", F.lit(""))) != "").select("doc_id", "page", prompt(F.col("text")).alias("request"))
-    said = call(asked, backend, system or f"Translate from {s.source_lang} to {s.target_lang}.", s.workers)
+    said = call(asked, backend, system or f"Translate from {s.source_lang} to {s.target_lang}.", s.workers, asked.count())
     out = said.select("doc_id", "page", F.coalesce(T.clean_markdown(F.col("response")), F.lit("")).alias("markdown")).unionByName(blank)
     return stash(out.unionByName(ready.select("doc_id", "page", "markdown")) if ready is not None else out, "markdown")
 

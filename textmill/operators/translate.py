@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -136,31 +137,39 @@ def requests(records: DataFrame, s: Settings, terms: list[tuple[str, str]], key:
     kind = F.coalesce("type", F.lit("paragraph"))
     item = F.struct(F.col("sid").alias("id"), kind.alias("type"), "context", F.col("prepared").alias("source"), "max_chars", hint.alias("layout_hint"))
     told = F.struct(F.col("sid").alias("id"), "told")
-    batches = records.groupBy(key, "batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", item.alias("item")))), lambda x: x["item"]).alias("items"), F.collect_list(F.when(F.size("told") > 0, told)).alias("violations"))
+    batches = records.groupBy(key, "batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", item.alias("item")))), lambda x: x["item"]).alias("items"), F.sort_array(F.collect_list(F.when(F.size("told") > 0, told))).alias("violations"))
     labels = F.struct(*[F.struct(F.lit(s.target_label(k)).alias("target_label")).alias(k) for k in ("fig", "tab") if s.target_label(k)])
     texts = F.transform("items", lambda x: x["source"])
     payload = F.struct(F.lit(s.source_lang).alias("source_language"), F.lit(s.target_lang).alias("target_language"), glossary.relevant(texts, list(terms)).alias("glossary"), labels.alias("anchors"), "items", F.when(F.size("violations") > 0, F.col("violations")).alias("violations"))
     return batches.select(key, "batch", F.to_json(payload).alias("request"))
 
 
-def call(asked: DataFrame, backend: Backend, system: str, workers: int) -> DataFrame:
-    """Adds response and error to rows with ``request``; ``workers`` bounds the calls at one time."""
+#: Requests that one task sends; a lost executor costs those of its tasks.
+CALLS = 32
+
+
+def call(asked: DataFrame, backend: Backend, system: str, workers: int, many: int) -> DataFrame:
+    """Adds response and error to ``many`` rows with ``request``.
+
+    A task sends about ``CALLS`` requests, ``workers`` of them at one time: the tasks grow with the rows, the calls at
+    one time are bounded by the executors' slots and ``workers``.
+    """
 
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out, errors = [], []
-            for request in pdf["request"]:
-                try:
-                    said = backend.complete([{"role": "system", "content": system}, {"role": "user", "content": request}])
-                    out.append(said or None)
-                    errors.append(None if said else "empty response")
-                except Exception as e:  # noqa: BLE001  any failure of a call is a failed item
-                    out.append(None)
-                    errors.append(str(e)[:500])
-            yield pdf.assign(response=out, error=errors)
+        def ask(request: str) -> tuple[str | None, str | None]:
+            try:
+                said = backend.complete([{"role": "system", "content": system}, {"role": "user", "content": request}])
+            except Exception as e:  # noqa: BLE001  any failure of a call is a failed item
+                return None, str(e)[:500]
+            return said or None, None if said else "empty response"
+
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            for pdf in batches:
+                told = list(pool.map(ask, pdf["request"]))
+                yield pdf.assign(response=[r for r, _ in told], error=[e for _, e in told])
 
     schema = ", ".join(f"{n} {t}" for n, t in asked.dtypes) + ", response string, error string"
-    return stash(asked.repartition(workers).mapInPandas(answered, schema), "answers")
+    return stash(asked.repartition(max(1, -(-many // CALLS))).mapInPandas(answered, schema), "answers")
 
 
 def parse_items(response: Column) -> Column:
@@ -177,10 +186,14 @@ def parse_items(response: Column) -> Column:
 
 
 def match_items(expected: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Expected rows (keys, sid) with the translation that was given just once; unknown ids are dropped."""
-    each = answers.select(*keys, F.explode(F.coalesce(parse_items(F.col("response")), F.array().cast("array<struct<id: string, translation: string>>"))).alias("x"))
-    once = each.groupBy(*keys, F.col("x.id").alias("sid")).agg(F.count(F.lit(1)).alias("n"), F.min("x.translation").alias("translation")).where("n = 1").drop("n")
-    return expected.join(once, [*keys, "sid"], "left")
+    """Expected rows (keys, sid) with the translation that was given just once; unknown ids are dropped.
+
+    ``answers`` have one row (keys, response) for each request; their other columns come along.
+    """
+    told = answers.withColumn("__items", parse_items(F.col("response"))).drop("response")
+    met = expected.join(told, keys, "left")
+    mine = F.filter("__items", lambda x: x["id"] == F.col("sid"))
+    return met.withColumn("translation", F.when(F.size(mine) == 1, F.get(mine, F.lit(0))["translation"])).drop("__items")
 
 
 def probe(records: DataFrame, log: DataFrame, s: Settings, seq: str = "ts") -> DataFrame:
@@ -199,7 +212,7 @@ def repair_han(rows: DataFrame, backend: Backend, s: Settings) -> DataFrame:
     found = rows.withColumn("fragments", F.array_distinct(F.regexp_extract_all("dst", F.lit(pattern), F.lit(0))))
     asked = found.withColumn("request", F.to_json(F.struct(F.lit(s.target_lang).alias("target_language"), "fragments")))
     system = 'Translate each fragment. Answer with JSON only: {"replacements":[{"source":"...","target":"..."}]}.'
-    got = call(asked, backend, system, s.workers)
+    got = call(asked, backend, system, s.workers, asked.count())
     pairs = F.from_json(T.strip_wrappers(F.col("response")), "struct<replacements: array<struct<source: string, target: string>>>")["replacements"]
     usable = F.filter(pairs, lambda p: F.array_contains(F.col("fragments"), p["source"]) & (T.strip(p["target"]) != "") & ~p["target"].rlike(f"[{HAN}]"))
     ordered = F.array_sort(F.transform(usable, lambda p: F.struct((-F.length(p["source"])).alias("n"), p["source"].alias("source"), T.strip(p["target"]).alias("target"))))
@@ -208,7 +221,7 @@ def repair_han(rows: DataFrame, backend: Backend, s: Settings) -> DataFrame:
 
 
 def _judged(records: DataFrame, answers: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
-    met = match_items(records, answers.select(*keys, "response"), keys).join(answers.select(*keys, "error"), keys, "left")
+    met = match_items(records, answers.select(*keys, "response", "error"), keys)
     dst = T.normalize_translation(F.col("translation"), s)
     missing = F.when(F.col("error").isNotNull(), F.concat(F.lit("llm_error:"), "error")).otherwise(F.lit("missing_or_invalid_item"))
     why = F.when(F.col("translation").isNull(), F.array(missing)).otherwise(violations(F.col("prepared"), F.col("dst"), F.col("max_chars"), s))
@@ -228,41 +241,42 @@ def translate(segments: DataFrame, backend: Backend, s: Settings = Settings(), t
     records = probe(records, log, s) if log is not None else records.withColumn("review", F.lit(None).cast("int")).withColumn("hit", F.lit(None).cast("string")).withColumn("stale", F.lit(False))
     records = stash(records.withColumn("blank", T.strip(F.coalesce("text", F.lit(""))) == ""), "records")
     known = records.where("blank OR hit IS NOT NULL")
-    done = [_result(known, F.when(F.col("blank"), F.coalesce("text", F.lit(""))).otherwise(F.col("hit")), True, F.coalesce("review", F.lit(1)), True)]
+    done = [_result(known, key, F.when(F.col("blank"), F.coalesce("text", F.lit(""))).otherwise(F.col("hit")), True, F.coalesce("review", F.lit(1)), True)]
     pending = records.where("NOT blank AND hit IS NULL")
     pending = batching.greedy_batches(pending, key, "id", F.length("prepared"), s.batch_max_items, s.batch_max_chars)
     pending = stash(pending.withColumn("told", F.array().cast("array<string>")).withColumn("draft", F.lit(None).cast("string")), "pending")
     for attempt in range(s.max_attempts + 1):
-        if pending.isEmpty():
+        many = pending.select(key, "batch").distinct().count()
+        if not many:
             break
-        answers = call(requests(pending, s, terms, key), backend, system, s.workers)
+        answers = call(requests(pending, s, terms, key), backend, system, s.workers, many)
         judged = stash(_judged(pending, answers, s, [key, "batch"]), "judged")
-        done.append(_result(judged.where(F.size("why") == 0), F.col("dst"), False, F.lit(1), True))
+        done.append(_result(judged.where(F.size("why") == 0), key, F.col("dst"), False, F.lit(1), True))
         rest = judged.where(F.size("why") > 0)
         if attempt and s.source_lang.startswith("zh"):
             left = rest.where(F.array_contains("why", "residual_han"))
             if not left.isEmpty():
                 fixed = repair_han(left, backend, s)
                 fixed = stash(fixed.withColumn("why", violations(F.col("prepared"), F.col("repaired"), F.col("max_chars"), s)).withColumn("dst", F.col("repaired")).drop("repaired"), "repaired")
-                done.append(_result(fixed.where(F.size("why") == 0), F.col("dst"), False, F.lit(1), True))
+                done.append(_result(fixed.where(F.size("why") == 0), key, F.col("dst"), False, F.lit(1), True))
                 rest = rest.where(~F.array_contains("why", "residual_han")).unionByName(fixed.where(F.size("why") > 0))
         soft = F.when(F.col("why") == F.array(F.lit(TOO_LONG)), F.col("dst"))
         draft = F.when(F.col("draft").isNull() | (F.length(soft) < F.length("draft")), soft).otherwise(F.col("draft"))
         rest = rest.withColumn("draft", F.coalesce(draft, "draft")).withColumn("told", instructions(F.col("prepared"), F.col("why"), F.col("max_chars"), s))
-        # Each item is a batch of its own from now on.
-        pending = stash(rest.withColumn("batch", F.col("id").cast("int")).withColumn("last", F.col("why")).drop("dst", "why"), "pending")
+        # Each item is a batch of its own from now on; the numbers stay once they are written.
+        pending = stash(rest.withColumn("batch", F.monotonically_increasing_id()).withColumn("last", F.col("why")).drop("dst", "why"), "pending")
     if "last" in pending.columns:
         soft = F.col("draft").isNotNull()
-        done.append(_result(pending.where(soft), F.col("draft"), False, F.lit(2), True))
-        done.append(_result(pending.where(~soft), F.coalesce("text", F.lit("")), False, F.lit(0), False, F.col("last")))
+        done.append(_result(pending.where(soft), key, F.col("draft"), False, F.lit(2), True))
+        done.append(_result(pending.where(~soft), key, F.coalesce("text", F.lit("")), False, F.lit(0), False, F.col("last")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _result(rows: DataFrame, dst: Column, cached: bool, review: Column, ok: bool, reasons: Column | None = None) -> DataFrame:
-    keep = [c for c in ("doc_id", "conv_id", "id", "page", "type", "section_id", "text", "cache_key", "prompt_hash", "stale") if c in rows.columns]
+def _result(rows: DataFrame, key: str, dst: Column, cached: bool, review: Column, ok: bool, reasons: Column | None = None) -> DataFrame:
+    keep = [key] + [c for c in ("id", "page", "type", "section_id", "text", "cache_key", "prompt_hash", "stale") if c in rows.columns]
     why = F.array().cast("array<string>") if reasons is None else reasons
     return rows.select(*keep, dst.alias("dst"), F.lit(cached).alias("cached"), review.cast("int").alias("review"), F.lit(ok).alias("ok"), why.alias("reasons"))
 
