@@ -25,8 +25,12 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\s", WS).replace(r"\d", r"\p{Nd}")
 
 
+#: The characters of ``WS``.
+_WS_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(_WS_CHARS))
 
 
 def squash(text: Column) -> Column:
@@ -148,6 +152,10 @@ def anchors_match(source: Column, target: Column, s: Settings = Settings()) -> C
     return ok
 
 
+_NO_WS = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
+#: A word with a digit or ``://``, with what is glued to it: the word before a digit, and words after that begin with one.
+_GLUE = rf"(?<=[A-Za-z]){WS}++(?=\p{{Nd}})"
+_TELLING = rf"(?<!{_NO_WS})(?:{_NO_WS}++{_GLUE})?(?={_NO_WS}*?(?:\p{{Nd}}|://)){_NO_WS}++(?:{_GLUE}{_NO_WS}++)*+"
 _URL = rf"(?i)https?://[^\t-\r\x1c-\x20\x85\p{{Z}}<>()]+"
 _CODE_END = rf"(?![A-Za-z0-9]|[-_/.:]?{MARK})"
 _CODE = r"(?<![A-Za-z0-9])%s[A-Za-z][A-Za-z0-9]*+(?:[-_/.:][A-Za-z0-9]++)*+" + _CODE_END
@@ -161,9 +169,10 @@ _NUMBER = r"(?<![A-Za-z0-9])\p{Nd}+(?:[.,]\p{Nd}+)*"
 def critical_tokens(text: Column) -> Column:
     """URLs, codes with a digit, and numbers that a translation must keep: array of ``kind:value``, with repeats.
 
-    Later kinds don't look inside spans of earlier ones: those are blanked by a mark first.
+    Later kinds don't look inside spans of earlier ones: those are blanked by a mark first.  One pass keeps the
+    words that can hold a token, or are glued to one that can; all others are never looked at again.
     """
-    t = F.coalesce(text, F.lit(""))
+    t = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TELLING), F.lit(0)), " | ")
     t = _sub(t, (r"(?i)(?<![A-Za-z0-9])(i[3579])-(\p{Nd}+)(?![A-Za-z0-9])", "$1 $2"), (rf"(?<=[A-Za-z]){WS}+(?=\p{{Nd}})", ""))
     urls = F.transform(F.regexp_extract_all(t, F.lit(_URL), F.lit(0)), lambda x: F.concat(F.lit("url:"), F.lower(F.regexp_replace(x, r"[.,;!?:]+\z", ""))))
     t = F.regexp_replace(t, _URL, MARK)
@@ -316,6 +325,15 @@ def section_of(title: Column, s: Settings = Settings()) -> Column:
     return F.when(t.rlike(chapter), F.concat(F.lit("ch"), F.regexp_extract(t, chapter, 1))).when(t.rlike(num), F.regexp_extract(t, num, 1))
 
 
+def _holds(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found; if it begins with plain letters, only texts that contain these are searched."""
+    letters = re.match(r"(\w+)(?![?*{|])", pattern)
+    found = text.rlike(java(pattern))
+    if not letters or "|" in pattern:
+        return found
+    return F.contains(text, F.lit(letters[1])) & found
+
+
 def classify(text: Column, toc_title: Column | None = None, s: Settings = Settings()) -> Column:
     """Struct (type, section) of a segment's text, by the first rule that fits."""
     t, p = strip(text), s.sections()
@@ -324,12 +342,12 @@ def classify(text: Column, toc_title: Column | None = None, s: Settings = Settin
     if toc_title is not None:
         kind = kind.when(toc_title.isNotNull(), "heading")
         section = section.when(toc_title.isNotNull(), section_of(toc_title, s))
-    heading = t.rlike(java(p["chapter"])) | t.rlike(java(p["num"])) | t.rlike(java(p["num_only"]))
+    heading = t.rlike("|".join(f"(?:{java(p[k])})" for k in ("chapter", "num", "num_only")))
     kind = kind.when(heading, "heading")
     for name in ("fig", "tab"):
         if pattern := s.source_anchor(name):
-            kind = kind.when(t.rlike(java(pattern)), f"caption_{name}")
-    item = t.rlike(java(LIST_NUMBER)) | t.rlike(java(LIST_BULLET))
+            kind = kind.when(_holds(t, pattern), f"caption_{name}")
+    item = t.rlike("|".join(f"(?:{java(x)})" for x in (LIST_NUMBER, LIST_BULLET)))
     return F.struct(kind.when(item, "listItem").otherwise("paragraph").alias("type"), section.when(heading, section_of(t, s)).alias("section"))
 
 

@@ -114,10 +114,31 @@ def budgets(segments: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "id", F.greatest(F.lit(12), (w / (low * s.avg_char_width) * n * s.layout_fill).cast("int")).alias("max_chars"))
 
 
+#: Side of a tile of a page, in points.
+TILE = 64.0
+
+
+def _tiles(box: Column, slack: float = 1.0) -> tuple[Column, Column]:
+    """The tiles that a rectangle touches, and the first of them in each direction."""
+    first = [F.floor((box[i] - slack) / TILE) for i in (0, 1)]
+    last = [F.floor((box[i] + slack) / TILE) for i in (2, 3)]
+    side = [F.sequence(a, F.greatest(a, b)) for a, b in zip(first, last, strict=True)]
+    every = F.flatten(F.transform(side[0], lambda x: F.transform(side[1], lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return every, F.struct(first[0].alias("x"), first[1].alias("y"))
+
+
 def matches(out_spans: DataFrame, src_spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of output and source spans of one page that overlap; output columns keep their names."""
+    """Pairs of output and source spans of one page that overlap; output columns keep their names.
+
+    Spans meet by the tiles of the page that they touch, and a pair counts at the first tile that both touch.
+    """
     src = src_spans.select(*keys, *[F.col(c).alias(f"src_{c}") for c in src_spans.columns if c not in keys])
-    return out_spans.join(src, keys).where(G.overlap_match(F.col("bbox"), F.col("src_bbox")))
+    (mine, from_), (theirs, src_from) = _tiles(F.col("bbox")), _tiles(F.col("src_bbox"))
+    a = out_spans.select("*", F.explode(mine).alias("__tile"), from_.alias("__from"))
+    b = src.select("*", F.explode(theirs).alias("__tile"), src_from.alias("__src_from"))
+    first = (F.col("__tile.x") == F.greatest("__from.x", "__src_from.x")) & (F.col("__tile.y") == F.greatest("__from.y", "__src_from.y"))
+    met = a.join(b, [*keys, "__tile"]).where(first & G.overlap_match(F.col("bbox"), F.col("src_bbox")))
+    return met.drop("__tile", "__from", "__src_from")
 
 
 def small_in_source(out_spans: DataFrame, src_spans: DataFrame, keys: list[str], threshold: float) -> DataFrame:

@@ -44,7 +44,7 @@ _SECTION = r"""CASE
   WHEN regexp_matches(t, '^(\d+(?:\.\d+){0,2})\s+(.+)$') THEN regexp_extract(t, '^(\d+(?:\.\d+){0,2})\s', 1) END"""
 _LINES = "SELECT doc_id, lang, x AS text, trim(x, ' ' || chr(9) || chr(13)) AS t FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS x FROM documents)"
 _BLOCKS = """SELECT page_id AS doc_id, pos - 1 AS pos, b[pos] AS text, trim(b[pos], ' ' || chr(9) || chr(10) || chr(13)) AS t FROM (
-  SELECT page_id, b, unnest(range(1, len(b) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<(?:h1|p|b|li)>([^<]+)', 1) AS b FROM pages))"""
+  SELECT page_id, b, unnest(range(1, len(b) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<(?:h1|p|b|li|a)(?:[ \t\r\n][^>]*)?>([^<]+)', 1) AS b FROM pages))"""
 _WRAPPED = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ')"
 
 
@@ -115,7 +115,27 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.length(T.squash(t)).alias("squashed"), T.compact_length(t).alias("compact"), F.length(T.escape_html(t, quotes=False)).alias("html"), T.meaningful_chars(t).alias("meaningful"))
 
 
-@_query()
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_LINK = r"(?i)https?://[^\t-\r\x1c-\x20\x{85}\p{Z}<>()]+"
+_RUN = r"[A-Za-z0-9]+(?:[-_/.:][A-Za-z0-9]+)*"
+_CPU = r"'(^|[^A-Za-z0-9])([iI][3579])-([0-9]+)($|[^A-Za-z0-9])', '\1\2 \3\4', 'g'"
+
+
+# Runs of letters and digits with single separators between; a code is a run from its first part that begins with a letter, if
+# a digit follows and no link.  A number right after a code's last part goes on in it.
+@_query(rf"""WITH a AS (SELECT regexp_replace(regexp_replace(coalesce(text, ''), {_CPU}), {_CPU}) AS t FROM documents),
+b AS (SELECT regexp_replace(t, '([A-Za-z]){_BLANK}+([0-9])', '\1\2', 'g') AS t FROM a),
+c AS (SELECT regexp_replace(t, '{_LINK}', chr(1), 'g') AS t FROM b),
+r AS (SELECT string_split_regex(t, '{_RUN}') AS g, regexp_extract_all(t, '{_RUN}') AS m FROM c),
+e AS (SELECT g, m, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN regexp_matches(g[i + 1], '^[-_/.:]?\x01') THEN '' ELSE regexp_extract(m[i], '(?:^|[-_/.:])([A-Za-z].*)$', 1) END) AS k FROM r),
+f AS (SELECT g, m, list_transform(k, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN x ELSE '' END) AS k FROM e),
+h AS (SELECT array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(m) THEN '' WHEN k[i] = '' THEN m[i]
+  ELSE left(m[i], length(m[i]) - length(k[i])) || chr(1) || CASE WHEN regexp_matches(k[i], '[-_/.:][0-9]{{1,32}}$') THEN chr(2) ELSE '' END END), '') AS t FROM f),
+n AS (SELECT regexp_replace(t, '\x02(?:[.,][0-9]+)*', '', 'g') AS t FROM h),
+o AS (SELECT 'url' AS kind, lower(regexp_replace(x, '[.,;!?:]+$', '')) AS token FROM (SELECT unnest(regexp_extract_all(t, '{_LINK}')) AS x FROM b)
+  UNION ALL SELECT 'code', lower(x) FROM (SELECT unnest(k) AS x FROM f) WHERE x <> ''
+  UNION ALL SELECT 'num', replace(x, ',', '.') FROM (SELECT unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9])([0-9]+(?:[.,][0-9]+)*)', 1)) AS x FROM n))
+SELECT kind, count(*) AS n, count(DISTINCT token) AS n_distinct FROM o GROUP BY 1""")
 def critical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "documents").select(F.explode(T.critical_tokens(F.col("text"))).alias("token"))
     return rows.groupBy(F.element_at(F.split("token", ":"), 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("n_distinct"))
@@ -236,12 +256,12 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.weighted_median(_read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", F.col("l_linenumber"))
 
 
-_BOX = "(p_partkey * 37 % 101)::DOUBLE AS x0, (p_partkey * 53 % 103)::DOUBLE AS y0, (p_partkey * 37 % 101 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 103 + 4)::DOUBLE AS y1"
+_BOX = "p_partkey // 500 AS page, (p_partkey * 37 % 101)::DOUBLE AS x0, (p_partkey * 53 % 103)::DOUBLE AS y0, (p_partkey * 37 % 101 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 103 + 4)::DOUBLE AS y1"
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (F.col("p_partkey") * 37 % 101).cast("double"), (F.col("p_partkey") * 53 % 103).cast("double")
-    return _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.array(x, y, x + F.col("p_size"), y + 4.0).alias("bbox"))
+    return _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.floor(F.col("p_partkey") / 500).alias("page"), F.array(x, y, x + F.col("p_size"), y + 4.0).alias("bbox"))
 
 
 @_query(f"""WITH b AS (SELECT p_partkey, {_BOX} FROM part), c AS (SELECT i AS cell_idx, (i % 10 * 10)::DOUBLE AS cx, (i // 10 * 10)::DOUBLE AS cy FROM range(0, 100) t(i)),
@@ -249,29 +269,30 @@ m AS (SELECT p_partkey, min(cell_idx) AS cell_idx FROM b JOIN c ON (x0 + x1) / 2
 SELECT b.p_partkey, CASE WHEN (x0 + x1) / 2 BETWEEN -1 AND 101 AND (y0 + y1) / 2 BETWEEN -1 AND 101 THEN 0 ELSE -1 END AS table_idx, coalesce(m.cell_idx, -1)::INTEGER AS cell_idx, coalesce(m.cell_idx // 10, -1)::INTEGER AS "row", coalesce(m.cell_idx % 10, -1)::INTEGER AS "col" FROM b LEFT JOIN m USING (p_partkey)""")
 def cell_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes in a grid of 100 cells of equal size: the first of equals counts."""
-    boxes = _boxes(spark, sf_dir).select(F.lit(0).alias("page"), F.col("p_partkey").alias("box_id"), "bbox")
-    i = F.col("id").cast("int")
+    boxes = _boxes(spark, sf_dir).select("page", F.col("p_partkey").alias("box_id"), "bbox")
+    pages = boxes.select("page").distinct().select("page", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("id"))
+    i = F.col("id")
     x, y = (i % 10 * 10).cast("double"), (F.floor(i / 10) * 10).cast("double")
-    cells = spark.range(100).select(F.lit(0).alias("page"), F.lit(0).alias("table_idx"), F.array(*map(F.lit, (0.0, 0.0, 100.0, 100.0))).alias("table_bbox"), i.alias("cell_pos"), i.alias("cell_idx"), F.floor(i / 10).cast("int").alias("row"), (i % 10).alias("col"), F.array(x, y, x + 10, y + 10).alias("cell_bbox"))
+    cells = pages.select("page", F.lit(0).alias("table_idx"), F.array(*map(F.lit, (0.0, 0.0, 100.0, 100.0))).alias("table_bbox"), i.alias("cell_pos"), i.alias("cell_idx"), F.floor(i / 10).cast("int").alias("row"), (i % 10).alias("col"), F.array(x, y, x + 10, y + 10).alias("cell_bbox"))
     return spatial.locate(boxes, cells, ["page"]).select(F.col("box_id").alias("p_partkey"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("table_idx", "cell_idx", "row", "col")])
 
 
 @_query(f"""WITH b AS (SELECT p_partkey, p_brand, {_BOX} FROM part)
 SELECT a.p_partkey, coalesce(bool_or(o.x0 >= a.x1 - 1 AND o.y0 < a.y1 AND o.y1 > a.y0), false) AS has_right, min(o.y0) FILTER (WHERE o.y0 >= a.y1 - 0.5 AND o.x0 < a.x1 AND o.x1 > a.x0) AS blocker
-FROM b a LEFT JOIN b o ON a.p_brand = o.p_brand AND a.p_partkey <> o.p_partkey GROUP BY 1""")
+FROM b a LEFT JOIN b o ON a.p_brand = o.p_brand AND a.page = o.page AND a.p_partkey <> o.p_partkey GROUP BY 1""")
 def nearest_blocker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _boxes(spark, sf_dir).select("p_brand", F.col("p_partkey").alias("id"), F.col("bbox").alias("r"), F.col("bbox").alias("box"))
-    return spatial.neighbours(rows, ["p_brand"]).select(F.col("id").alias("p_partkey"), "has_right", "blocker")
+    rows = _boxes(spark, sf_dir).select("p_brand", "page", F.col("p_partkey").alias("id"), F.col("bbox").alias("r"), F.col("bbox").alias("box"))
+    return spatial.neighbours(rows, ["p_brand", "page"]).select(F.col("id").alias("p_partkey"), "has_right", "blocker")
 
 
 @_query(f"""WITH b AS (SELECT p_partkey, p_brand, {_BOX} FROM part),
-m AS (SELECT a.p_partkey FROM b a JOIN b o ON a.p_brand = o.p_brand WHERE
+m AS (SELECT a.p_partkey FROM b a JOIN b o ON a.p_brand = o.p_brand AND a.page = o.page WHERE
  (least((a.x1 - a.x0) * (a.y1 - a.y0), (o.x1 - o.x0) * (o.y1 - o.y0)) > 0 AND greatest(least(a.x1, o.x1) - greatest(a.x0, o.x0), 0) * greatest(least(a.y1, o.y1) - greatest(a.y0, o.y0), 0) / least((a.x1 - a.x0) * (a.y1 - a.y0), (o.x1 - o.x0) * (o.y1 - o.y0)) >= 0.25)
  OR ((a.x0 + a.x1) / 2 BETWEEN o.x0 - 1 AND o.x1 + 1 AND (a.y0 + a.y1) / 2 BETWEEN o.y0 - 1 AND o.y1 + 1))
 SELECT p_partkey, count(*) AS n_matches FROM m GROUP BY 1""")
 def rect_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = _boxes(spark, sf_dir).select("p_brand", "p_partkey", "bbox")
-    return spatial.matches(boxes, boxes, ["p_brand"]).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_matches"))
+    boxes = _boxes(spark, sf_dir).select("p_brand", "page", "p_partkey", "bbox")
+    return spatial.matches(boxes, boxes, ["p_brand", "page"]).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_matches"))
 
 
 @_query("""WITH e AS (SELECT user_id, event_id, epoch(ts) AS s, epoch(ts) + abs(value) AS x FROM events),

@@ -7,6 +7,7 @@ import io
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -132,7 +133,11 @@ def parse_csv(text: str, delimiter: str = ",") -> list[list[str]]:
 
 def read_grid(spark: SparkSession, path: str, encoding: str = "gb18030", delimiter: str = ",") -> DataFrame:
     """CSV files as cells (file, line, col, value), from 0.  A file with quoted line ends can't be split, so it is one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return parse_grid(spark.read.format("binaryFile").load(path).select("path", "content"), encoding, delimiter)
+
+
+def parse_grid(files: DataFrame, encoding: str = "gb18030", delimiter: str = ",") -> DataFrame:
+    """The same from (path, content) rows."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,9 +161,50 @@ def grid_lines(grid: DataFrame, delimiter: str = ",") -> DataFrame:
 
 
 def write_csv(grid: DataFrame, path: str, delimiter: str = ",") -> None:
-    """One small file with a byte-order mark and CRLF line ends, put in place in one step."""
-    lines = [r[0] for r in grid_lines(grid, delimiter).orderBy("file", "line").select("text").toLocalIterator()]
-    atomic_write(path, "\ufeff" + "\r\n".join(lines))
+    """One file with a byte-order mark and CRLF between lines, put in place in one step.
+
+    Executors write the lines in parts by range; the driver's JVM joins their bytes and holds a buffer at most.
+    """
+    spark = grid.sparkSession
+    parts = f"{path}.{uuid.uuid4().hex}.parts"
+    lines = grid_lines(grid, delimiter).orderBy("file", "line").select("text")
+    lines.write.option("lineSep", "\r\n").option("encoding", "UTF-8").text(parts)
+    try:
+        _join_parts(spark, parts, path, "\ufeff".encode(), cut=2)
+    finally:
+        _files(spark, parts)[0].delete(_files(spark, parts)[1], True)
+
+
+def _files(spark: SparkSession, name: str):
+    """A path's file system, without checksum files beside local ones, and the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (files.getRawFileSystem() if name.startswith(("/", "file:")) or not path.isAbsolute() else files), path
+
+
+def _join_parts(spark: SparkSession, folder: str, target: str, head: bytes, cut: int) -> None:
+    """The part files of ``folder``, by name, as one file behind ``head``, less the last ``cut`` bytes."""
+    files, at = _files(spark, folder)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = sorted(((s.getPath().getName(), s.getPath(), s.getLen()) for s in files.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    filled = [x for x in found if x[2]]
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}.joined")
+    out = files.create(temporary, True)
+    try:
+        out.write(bytearray(head))
+        for i, (_, part, size) in enumerate(filled):
+            source = files.open(part)
+            try:
+                whole = jvm.org.apache.commons.io.input.BoundedInputStream(source, size - cut * (i == len(filled) - 1))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(whole, out, conf, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    final = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files.delete(final, False)
+    if not files.rename(temporary, final):
+        raise OSError(f"{target} could not be put in place")
 
 
 def promote(grid: DataFrame, path: str, main: str, delimiter: str = ",") -> int:
@@ -209,8 +255,8 @@ def load_json(path: str):
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Text of h1, p, b and li elements as blocks (doc_id, pos, tag, text), in order."""
-    pattern = r"(?s)<(h1|p|b|li)>([^<]+)"
+    """Text that directly follows the start of an h1, p, b, li or a element, with or without attributes, as blocks (doc_id, pos, tag, text), in order."""
+    pattern = r"<(h1|p|b|li|a)(?:[ \t\r\n][^>]*)?>([^<]+)"
     found = F.arrays_zip(F.regexp_extract_all(html_col, F.lit(pattern), F.lit(1)).alias("tag"), F.regexp_extract_all(html_col, F.lit(pattern), F.lit(2)).alias("text"))
     rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("pos", "b"))
     return rows.select("doc_id", "pos", "b.tag", "b.text")
