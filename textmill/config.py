@@ -141,22 +141,26 @@ def load(path: str, target_lang: str | None = None) -> dict:
     """A configuration file (YAML if a reader is installed, else JSON), with the target language's glossary."""
     import json
 
-    raw = open(path, encoding="utf-8").read()
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
     try:
         import yaml
     except ImportError:
-        cfg = json.loads(raw)
+        try:
+            cfg = json.loads(raw)
+        except ValueError as e:
+            raise ValueError(f"{path} is no JSON, and no YAML reader is installed") from e
     else:
         cfg = yaml.safe_load(raw)
     return for_target({"source_lang": "zh", "target_lang": "ru"} | (cfg or {}), target_lang)
 
 
 def for_target(cfg: dict, target_lang: str | None) -> dict:
-    """``cfg`` for another target language; its glossary replaces the general one."""
+    """``cfg`` for another target language, in lower case; its glossary replaces the general one."""
     out = dict(cfg)
-    if target_lang:
-        out["target_lang"] = target_lang
-    paths = out.get("glossary_paths") or {}
+    out["target_lang"] = str(target_lang or out.get("target_lang") or "ru").lower()
+    paths = out.get("glossary_paths")
+    paths = paths if isinstance(paths, dict) else {}
     if paths.get(out["target_lang"]):
         out["glossary_path"] = paths[out["target_lang"]]
     return out

@@ -46,7 +46,8 @@ def document_job(spark: SparkSession, pages: DataFrame, toc: DataFrame, backend:
         put(layout.plan(at("translated.parquet"), s), path)
         planned = spark.read.parquet(path)
         put(context.translate_toc(toc, context.heading_lookup(at("translated.parquet"))), os.path.join(folder, "toc.parquet"))
-        save_json([r.asDict(recursive=True) for r in layout.report(planned, s).collect()], os.path.join(folder, "layout.json"))
+        # One line for each document, written where its row lies.
+        layout.report(planned, s).write.mode("overwrite").json(os.path.join(folder, "layout.json"))
 
     keys = ("source_lang", "target_lang", "anchors", "section_patterns", "bullet_chars", "bullet_replace", "remove_pua")
     models = ("llm_model", "model", "temperature", "top_p", "max_tokens", "llm_batch_max_items", "llm_batch_max_chars", "translation_max_attempts")
