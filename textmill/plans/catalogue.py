@@ -207,14 +207,16 @@ def cache_hit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count_if(F.col("cached").isNotNull()).alias("n_hits"), F.count_if(F.col("cached").isNull()).alias("n_pending"))
 
 
-@_query("""WITH RECURSIVE o AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-r AS (SELECT source, rn, 0 AS batch, 1 AS items, n_chars AS chars, n_chars FROM o WHERE rn = 1
-  UNION ALL SELECT o.source, o.rn, r.batch + (r.items >= 24 OR r.chars + o.n_chars > 4000)::INTEGER, CASE WHEN r.items >= 24 OR r.chars + o.n_chars > 4000 THEN 1 ELSE r.items + 1 END,
-    CASE WHEN r.items >= 24 OR r.chars + o.n_chars > 4000 THEN o.n_chars ELSE r.chars + o.n_chars END, o.n_chars FROM r JOIN o ON o.source = r.source AND o.rn = r.rn + 1)
-SELECT source, batch::INTEGER AS batch, count(*) AS n_items, sum(n_chars)::BIGINT AS n_chars FROM r GROUP BY ALL""")
+@_query("""WITH RECURSIVE o AS (SELECT conv_id, length(text) AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+r AS (SELECT conv_id, rn, 0 AS batch, 1 AS items, n_chars AS chars, n_chars FROM o WHERE rn = 1
+  UNION ALL SELECT o.conv_id, o.rn, r.batch + (r.items >= 3 OR r.chars + o.n_chars > 1200)::INTEGER, CASE WHEN r.items >= 3 OR r.chars + o.n_chars > 1200 THEN 1 ELSE r.items + 1 END,
+    CASE WHEN r.items >= 3 OR r.chars + o.n_chars > 1200 THEN o.n_chars ELSE r.chars + o.n_chars END, o.n_chars FROM r JOIN o ON o.conv_id = r.conv_id AND o.rn = r.rn + 1)
+SELECT conv_id, batch::INTEGER AS batch, count(*) AS n_items, sum(n_chars)::BIGINT AS n_chars FROM r GROUP BY ALL""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = batching.greedy_batches(_read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", F.col("n_chars"), 24, 4000)
-    return rows.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_chars").alias("n_chars"))
+    """Turns of each conversation, which is its document; batches never reach over two of them."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n_chars"))
+    rows = batching.greedy_batches(rows, "conv_id", "turn", F.col("n_chars"), 3, 1200)
+    return rows.groupBy("conv_id", "batch").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_chars").alias("n_chars"))
 
 
 @_query("""WITH u AS (SELECT text, min(doc_id) AS first_doc FROM documents GROUP BY 1), n AS (SELECT first_doc, row_number() OVER (ORDER BY first_doc) - 1 AS rn FROM u)

@@ -8,14 +8,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill import sources
 from textmill.config import Settings
 from textmill.functions import geometry as G
 from textmill.functions import text as T
-from textmill.operators import batching, cache, grid, layout, markdown, segment, translate, validate, vision
+from textmill.operators import batching, cache, grid, layout, markdown, paint, segment, translate, validate, vision
+from textmill.sources import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -378,3 +379,130 @@ def old_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, seconds = F.col("turn") + 1, F.col("turn") * 2 + 1
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", grid.progress(done, F.lit(100), seconds)["rate"].alias("rate"))
+
+
+class Short(paint.PlainPages):
+    """Writes only pages with text."""
+
+    def write(self, doc_id, rows, pages):
+        return super().write(doc_id, rows, rows["page"].nunique())
+
+
+@_query("""SELECT doc_id, CASE WHEN many % 3 = 0 THEN NULL ELSE sha256(body) END AS digest, many::INTEGER AS pages, CASE WHEN many % 3 = 0 THEN 'page count changed: ' || (many + 1) || ' to ' || many END AS error FROM (
+SELECT conv_id AS doc_id, count(*) AS many, string_agg(text, chr(12) ORDER BY turn) AS body FROM conversations GROUP BY 1)""")
+def rendered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files with a page for each turn; of every third number of pages one more is asked for than there is."""
+    rows = _read(spark, sf_dir, "conversations")
+    page = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    planned = rows.select(F.col("conv_id").alias("doc_id"), page.alias("page"), F.col("turn").alias("id"), "text")
+    many = F.count(F.lit(1))
+    pages = rows.groupBy(F.col("conv_id").alias("doc_id")).agg((many + (many % 3 == 0).cast("int")).cast("int").alias("pages"))
+    made = paint.render(planned, pages, Short())
+    return made.select("doc_id", F.sha2("content", 256).alias("digest"), "pages", "error")
+
+
+@_query("""SELECT p_partkey AS doc_id, p_size % 4 = 3 AS ok, CASE p_size % 4 WHEN 0 THEN 'no file' WHEN 1 THEN 'not readable' WHEN 2 THEN 'page count changed: base=' || p_size || ', out=' || (p_size + 1) END AS reason FROM part""")
+def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, size = _read(spark, sf_dir, "part"), F.col("p_size")
+    base = rows.select(F.col("p_partkey").alias("doc_id"), size.cast("int").alias("pages"))
+    pages = F.when(size % 4 == 1, -1).when(size % 4 == 2, size + 1).otherwise(size).cast("int")
+    out = rows.select(F.col("p_partkey").alias("doc_id"), pages.alias("pages"), F.when(size % 4 == 0, 0).otherwise(9).alias("size"))
+    return paint.derived_check(base, out)
+
+
+_PIXEL = "lpad(to_hex(p_size), 2, '0') || '0000'"
+
+
+@_query(f"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN sha256(unhex(repeat({_PIXEL}, 40 * 40))) ELSE sha256(unhex(repeat({_PIXEL}, 10 * 40) || repeat(repeat({_PIXEL}, 10) || repeat('FFFFFF', 20) || repeat({_PIXEL}, 10), 20) || repeat({_PIXEL}, 10 * 40))) END AS digest,
+(1 - p_size % 2)::INTEGER AS processed FROM part""")
+def painted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White squares in dark images with alpha: painted over where the reading is sure, else left."""
+    pixel = F.concat(F.lpad(F.hex("p_size"), 2, "0"), F.lit("0000"))
+    edge = F.concat(pixel, F.lit("7F"))
+    line, middle = F.repeat(edge, 40), F.concat(F.repeat(edge, 10), F.lit("FFFFFF7F" * 20), F.repeat(edge, 10))
+    raw = F.unhex(F.concat(F.repeat(line, 10), F.repeat(middle, 20), F.repeat(line, 10)))
+    region = F.struct(F.array(*[F.lit(float(x)) for x in (250, 250, 750, 750)]).alias("bbox"), F.lit("a").alias("source_text"), F.lit("").alias("translation"), F.when(F.col("p_size") % 2 == 0, 0.9).otherwise(0.1).alias("confidence"))
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), paint.to_rgb(raw, F.lit(40), F.lit(40), F.lit(4)).alias("raw"), F.lit(40).alias("width"), F.lit(40).alias("height"), region.alias("region"))
+    done = paint.paint_regions(vision.overlay_plan(rows), paint.Bars())
+    return done.select(F.col("key").alias("p_partkey"), F.sha2("raw", 256).alias("digest"), "processed")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'inline' ELSE 'attachment' END || '; filename*=UTF-8' || chr(39) || chr(39) || replace(p_name, ' ', '%20') || '.pdf' AS header FROM part""")
+def result_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", paint.disposition(F.concat("p_name", F.lit(".pdf")), F.col("p_partkey") % 2 == 0).alias("header"))
+
+
+@_query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'outside' WHEN 2 THEN 'outside' WHEN 3 THEN 'not_a_pdf' WHEN 4 THEN 'empty' ELSE 'no_job' END AS reason,
+CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE left(md5(p_name), 12) END AS job_id FROM part""")
+def upload_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in and beside the landing folder, some of them no PDFs, empty, or of no job."""
+    k, job = F.col("p_partkey"), F.substring(F.md5(F.col("p_name").cast("binary")), 1, 12)
+    name = intake.stored_name(job, F.concat(F.lit("up/"), "p_brand", F.when(k % 6 == 3, ".txt").otherwise(".PDF")))
+    path = F.when(k % 6 == 1, F.concat(F.lit("file:/other/"), name)).when(k % 6 == 2, F.concat(F.lit("/in/../other/"), name)).when(k % 6 == 5, "/in/free.pdf").otherwise(F.concat(F.lit("hdfs://store/in/a/"), name))
+    files = _read(spark, sf_dir, "part").select("p_partkey", path.alias("path"), F.when(k % 6 == 4, 0).otherwise(5).alias("length"))
+    return intake.taken(files, "/in").select("p_partkey", "reason", "job_id")
+
+
+@_query("""WITH e AS (SELECT user_id AS job, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'start' WHEN 1 THEN 'start' WHEN 5 THEN 'done' WHEN 6 THEN 'cancel' ELSE 'log' END AS event FROM events),
+s AS (SELECT job, min(seq) AS s FROM e WHERE event = 'start' GROUP BY 1), t AS (SELECT e.job, min(seq) AS t, arg_min(event, seq) AS how FROM e JOIN s ON e.job = s.job AND e.seq > s.s AND event IN ('done', 'cancel') GROUP BY 1)
+SELECT e.job, seq, CASE WHEN s IS NULL OR seq < s THEN 'missing' WHEN seq = s THEN 'accepted' WHEN event = 'start' THEN 'conflict' WHEN seq > t THEN 'ignored' ELSE 'accepted' END AS answer,
+CASE WHEN s IS NULL OR seq < s THEN 'idle' WHEN seq >= t THEN CASE how WHEN 'cancel' THEN 'cancelled' ELSE how END ELSE 'running' END AS state FROM e LEFT JOIN s ON e.job = s.job LEFT JOIN t ON e.job = t.job""")
+def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = F.element_at(F.array(*map(F.lit, ("start", "start", "log", "log", "log", "done", "cancel"))), (F.col("event_id") % 7 + 1).cast("int"))
+    asked = _read(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), event.alias("event"))
+    return intake.job_runs(asked).select("job", "seq", "answer", "state")
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as documents whose outputs go wrong in all ways that are checked: expected, present, problems."""
+    k = F.col("p_partkey")
+    rows = _read(spark, sf_dir, "part").select(k.alias("doc_id"), "p_partkey", "p_name")
+    wrong = lambda n, at: k % n == at
+    body = F.repeat(F.lit("текст "), 10)
+    out_text = (
+        F.when(wrong(7, 1), "")
+        .when(wrong(7, 2), "Рис. 1-1")
+        .when(wrong(7, 3), F.concat(F.lit("Рис. 1-2 "), body))
+        .when(wrong(7, 4), F.concat(F.lit("Рис. 1-1 "), body, F.repeat(F.lit("中"), 80)))
+        .when(wrong(7, 5), F.concat(F.lit("Рис. 1-1 � "), body))
+        .otherwise(F.concat(F.lit("Рис. 1-1 "), body))
+    )
+    page = lambda text: rows.select("doc_id", F.lit(0).alias("page"), text.alias("text"))
+    span = lambda text, size: rows.select("doc_id", F.lit(0).alias("page"), F.lit("0:0").alias("id"), text.alias("text"), size.cast("double").alias("size"), _rect(40, 300, 200, 310).alias("bbox"), F.lit(842.0).alias("page_height"))
+    doc = lambda lost: rows.select("doc_id", (3 - lost(0)).alias("pages"), (20 - 12 * lost(1)).alias("images"), (4 - lost(2)).alias("toc_len"), (3 - lost(3)).alias("max_level"))
+    title = lambda t: rows.select("doc_id", t.alias("title"), F.lit("a").alias("author"), F.lit("s").alias("subject"))
+    none, some = (lambda at: F.lit(0)), (lambda at: wrong(5, at).cast("int"))
+    src = {"docs": doc(none), "pages": page(F.concat(F.lit("图1-1 "), F.repeat(F.lit("测试内容"), 10))), "spans": span(F.repeat(F.lit("测试内容"), 10), F.lit(10)), "metadata": title(F.col("p_name"))}
+    out_spans = span(F.when(wrong(11, 0), F.lit("latin words")).otherwise(body), F.when(wrong(3, 0), 5).otherwise(10))
+    out = {"docs": doc(some), "pages": page(out_text), "spans": out_spans, "metadata": title(F.when(wrong(13, 0), "").otherwise(F.col("p_name")))}
+    reports = rows.where(wrong(17, 0)).select("doc_id", F.lit('{"lost": 1}').alias("report"))
+    return rows, rows.where(~wrong(23, 0)), validate.validate(src, out, ZH, reports)
+
+
+_CHECKS = (
+    ("pages_lost", "k % 5 = 0"),
+    ("images_lost", "k % 5 = 1"),
+    ("toc_shorter", "k % 5 = 2"),
+    ("toc_levels_lost", "k % 5 = 3"),
+    ("empty_pages", "k % 7 = 1"),
+    ("thinned_pages", "k % 7 = 2"),
+    ("anchors", "k % 7 IN (1, 3)"),
+    ("residual_script", "k % 7 = 4"),
+    ("invalid_characters", "k % 7 = 5"),
+    ("no_target_script", "k % 11 = 0"),
+    ("too_small", "k % 3 = 0 AND k % 11 > 0"),
+    ("metadata_title", "k % 13 = 0"),
+    ("layout_report", "k % 17 = 0"),
+)
+_CHECKED = " UNION ALL ".join(f"SELECT k AS doc_id, '{name}' AS \"check\" FROM p WHERE {when}" for name, when in _CHECKS)
+
+
+@_query(f"WITH p AS (SELECT p_partkey AS k FROM part) {_CHECKED}")
+def validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of an output against its source, each failing for some documents."""
+    return _checked(spark, sf_dir)[2].select("doc_id", "check")
+
+
+@_query(f"WITH p AS (SELECT p_partkey AS k FROM part), c AS ({_CHECKED}), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) SELECT k AS doc_id, CASE WHEN k % 23 = 0 THEN 2 WHEN n.n > 0 THEN 1 ELSE 0 END AS code FROM p LEFT JOIN n ON n.doc_id = k")
+def validation_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.exit_codes(*_checked(spark, sf_dir))

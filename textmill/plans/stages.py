@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from textmill.config import resolved
 from textmill.sources import load_json, save_json
 
 
@@ -115,3 +118,60 @@ class Job:
             else:
                 self.mark_done(s.name)
         return ran
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Where a document's artifacts lie: a folder named by its source's hash below the job folder of a configuration."""
+
+    cfg: dict
+    source_hash: str
+
+    @property
+    def folder(self) -> str:
+        return os.path.join(resolved(str(self.cfg.get("tmp_dir") or "intermediate"), str(self.cfg.get("root") or os.getcwd())), self.source_hash)
+
+    def of(self, *names: str) -> dict[str, str]:
+        return {n: os.path.join(self.folder, n) for n in names}
+
+    def made(self) -> str:
+        """The folder, made if it is not there."""
+        os.makedirs(self.folder, exist_ok=True)
+        return self.folder
+
+    def logger(self, name: str = "textmill") -> logging.Logger:
+        """A logger that writes all to the configuration's log file and what matters to the console, however often it is asked for."""
+        path = resolved(str(self.cfg.get("log_path") or os.path.join("log", "textmill.log")), str(self.cfg.get("root") or os.getcwd()))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        out = logging.getLogger(name)
+        out.setLevel(logging.DEBUG)
+        for old in list(out.handlers):
+            out.removeHandler(old)
+            old.close()
+        for handler, level in ((logging.FileHandler(path, encoding="utf-8"), logging.DEBUG), (logging.StreamHandler(), logging.INFO)):
+            handler.setLevel(level)
+            handler.setFormatter(logging.Formatter("%(asctime)s [%(levelname)s] %(message)s"))
+            out.addHandler(handler)
+        return out
+
+
+def guarded(source: str, target: str, build: Callable[[str, str], None], check: Callable[[str, str], str | None]) -> str:
+    """``target`` made from ``source``, never over another file, and only if it passes its check.
+
+    ``build`` writes a file beside the target, which gets its name once ``check`` finds nothing against it; else it goes.
+    """
+    if os.path.realpath(source) == os.path.realpath(target):
+        raise ValueError("a file can't be made from itself")
+    if os.path.exists(target):
+        raise FileExistsError(target)
+    begun = f"{target}.{uuid.uuid4().hex}.part"
+    try:
+        build(source, begun)
+        problem = "nothing was written" if not os.path.exists(begun) or not os.path.getsize(begun) else check(source, begun)
+        if problem:
+            raise ValueError(problem)
+        os.link(begun, target)  # fails, unlike a rename, if the target came to be meanwhile
+    finally:
+        if os.path.exists(begun):
+            os.unlink(begun)
+    return target
