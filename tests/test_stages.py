@@ -47,3 +47,52 @@ def test_settings():
     assert Settings.shipped().batch_max_chars == 4000
     assert Settings(context_chars=9).bounded().context_chars == 80
     assert for_target({"glossary_paths": {"en": "e.csv"}, "glossary_path": "r.csv", "target_lang": "ru"}, "en")["glossary_path"] == "e.csv"
+
+
+def test_paths_and_logger(tmp_path):
+    from textmill.plans.stages import Paths
+
+    paths = Paths({"root": str(tmp_path), "tmp_dir": "work"}, "abc")
+    assert paths.made() == str(tmp_path / "work" / "abc") and (tmp_path / "work" / "abc").is_dir()
+    assert paths.of("a.json") == {"a.json": str(tmp_path / "work" / "abc" / "a.json")}
+    for _ in range(2):
+        log = paths.logger("textmill-test")
+    log.debug("one line")
+    assert (tmp_path / "log" / "textmill.log").read_text().count("one line") == 1
+
+
+def test_guarded_files(tmp_path):
+    import pytest
+
+    from textmill.plans.stages import guarded
+
+    source, target = tmp_path / "a", tmp_path / "b"
+    source.write_text("x")
+    copy = lambda s, t: open(t, "w").write(open(s).read())
+    with pytest.raises(ValueError, match="itself"):
+        guarded(str(source), str(source), copy, lambda s, t: None)
+    with pytest.raises(ValueError, match="bad"):
+        guarded(str(source), str(target), copy, lambda s, t: "bad")
+    with pytest.raises(ValueError, match="nothing"):
+        guarded(str(source), str(target), lambda s, t: None, lambda s, t: None)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a"]
+    assert guarded(str(source), str(target), copy, lambda s, t: None) == str(target) and target.read_text() == "x"
+    with pytest.raises(FileExistsError):
+        guarded(str(source), str(target), copy, lambda s, t: None)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_configuration(tmp_path):
+    import json
+
+    import pytest
+
+    from textmill import config
+
+    (tmp_path / "c.json").write_text(json.dumps({"glossary_paths": {"en": "g"}}))
+    got = config.load("c.json", "EN", str(tmp_path))
+    assert (got["target_lang"], got["glossary_path"], got["root"], got["source_lang"]) == ("en", "g", str(tmp_path), "zh")
+    assert config.for_target({"target_lang": "RU", "glossary_paths": "x"}, None)["target_lang"] == "ru"
+    (tmp_path / "d.yaml").write_text("a: [")
+    with pytest.raises(Exception):  # noqa: B017  which one depends on the reader
+        config.load(str(tmp_path / "d.yaml"))

@@ -137,11 +137,16 @@ def script_class(lang: str) -> str:
     return SCRIPTS.get(lang) or (LATIN if lang in LATIN_LANGUAGES else r"\p{L}")
 
 
-def load(path: str, target_lang: str | None = None) -> dict:
-    """A configuration file (YAML if a reader is installed, else JSON), with the target language's glossary."""
+def load(path: str, target_lang: str | None = None, root: str | None = None) -> dict:
+    """A configuration file (YAML if a reader is installed, else JSON), with the target language's glossary.
+
+    Relative paths, the file's own included, are taken from ``root`` (the working folder if none is given), which is kept in the result.
+    """
     import json
+    import os
 
-    with open(path, encoding="utf-8") as f:
+    root = os.path.abspath(root or os.getcwd())
+    with open(resolved(path, root), encoding="utf-8") as f:
         raw = f.read()
     try:
         import yaml
@@ -152,7 +157,14 @@ def load(path: str, target_lang: str | None = None) -> dict:
             raise ValueError(f"{path} is no JSON, and no YAML reader is installed") from e
     else:
         cfg = yaml.safe_load(raw)
-    return for_target({"source_lang": "zh", "target_lang": "ru"} | (cfg or {}), target_lang)
+    return for_target({"root": root, "source_lang": "zh", "target_lang": "ru"} | (cfg or {}), target_lang)
+
+
+def resolved(path: str, root: str) -> str:
+    """A path as it is if it is absolute, else below ``root``."""
+    import os
+
+    return path if os.path.isabs(path) else os.path.join(root, path)
 
 
 def for_target(cfg: dict, target_lang: str | None) -> dict:

@@ -11,7 +11,8 @@ from textmill.functions.folds import running
 def greedy_batches(rows: DataFrame, key: str, order: str, length: Column, max_items: int, max_chars: int) -> DataFrame:
     """Adds ``batch`` (from 0 for each key): a batch ends before the row that would overfill it.
 
-    A fold over each key's lengths; only (order, length) pairs are gathered, not rows.
+    A fold over each key's lengths; only (order, length) pairs are gathered, not rows.  A key is a document, so these are
+    bounded by one document's segments; batches of a whole table in order are ``chunks``, which go by ranges.
     """
     sized = rows.withColumn("__n", length.cast("long"))
     groups = sized.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__n").alias("n")))).alias("items"))
