@@ -132,13 +132,14 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = stash(rows.select("source", id_hash(F.col("id")).alias("h"), n_words(F.col("text")).alias("size")), "mix-sizes")
     cuts = thresholds(sized, weighting, most).withColumnRenamed("source", "of")
     held = packed_rows(docs, h=id_hash(F.col(f"`{id_col}`")), source=source_col)
-    out = held.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("text", F.col("row").getField(text_col))
-    part = F.when(F.col("h") == F.col("cut"), _part(n_words(F.col("text")))).otherwise(0)
+    text = F.col("row").getField(text_col)
+    out = held.join(cuts, F.col("source").eqNullSafe(F.col("of")))
+    part = F.when(F.col("h") == F.col("cut"), _part(n_words(text))).otherwise(0)
     out = out.withColumn("whole", F.col("copies") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)).withColumn("part", part)
     copies = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
     out = out.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut_off = F.col("copy") > F.col("whole")
-    said = F.when(cut_off, first_words(F.col("text"), F.col("part"))).otherwise(F.col("text"))
+    said = F.when(cut_off, first_words(text, F.col("part"))).otherwise(text)
     changed = {text_col: said}
     if length_col in docs.columns:
         length = F.col("row").getField(length_col)
