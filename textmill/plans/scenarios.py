@@ -506,3 +506,28 @@ def validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH p AS (SELECT p_partkey AS k FROM part), c AS ({_CHECKED}), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) SELECT k AS doc_id, CASE WHEN k % 23 = 0 THEN 2 WHEN n.n > 0 THEN 1 ELSE 0 END AS code FROM p LEFT JOIN n ON n.doc_id = k")
 def validation_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.exit_codes(*_checked(spark, sf_dir))
+
+
+_BASE = cache.prompt_hash(EN, translate.system_prompt(EN), translate.CONTRACT, translate.PROMPT_VERSION)
+_NEAR = """coalesce('"next_text":"' || next || '",', '') || coalesce('"previous_text":"' || previous || '",', '')"""
+
+
+@_query(f"""WITH t AS (SELECT p_brand, p_partkey, p_name || ' ' || p_partkey AS text FROM part),
+n AS (SELECT *, lead(text) OVER w AS next, lag(text) OVER w AS previous FROM t WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+j AS (SELECT *, '{{' || {_NEAR} || '"section_id":"","type":"paragraph"}}' AS context FROM n),
+h AS (SELECT *, left(sha256('{{"base":"{_BASE}","context":"' || replace(context, '"', '\\"') || '","glossary":[' || CASE WHEN contains(text, 'ring') THEN '{{"source":"ring","target":"Ring"}}' ELSE '' END || ']}}'), 20) AS prompt_hash FROM j)
+SELECT p_partkey, text AS prepared, context, prompt_hash, sha256(text || chr(0) || 'stub' || chr(0) || prompt_hash) AS cache_key FROM h""")
+def prepared_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for the model, with their context, the terms that fit, and the keys that all of it shapes."""
+    rows = _read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("text"))
+    done = translate.prepare(rows, EN, [("ring", "Ring")], key="p_brand")
+    return done.select(F.col("id").alias("p_partkey"), "prepared", "context", "prompt_hash", "cache_key")
+
+
+@_query("""SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY n) AS items
+FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <= 5 GROUP BY 1""")
+def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five items of each order, as reports list their examples."""
+    rows = _read(spark, sf_dir, "lineitem")
+    few = validate.first_few(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], F.col("l_partkey").cast("string"), 5)
+    return few.select("l_orderkey", F.array_join("items", ",").alias("items"))
