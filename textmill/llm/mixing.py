@@ -30,10 +30,27 @@ def id_hash(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums of values over all rows up to and with each, in an order over the whole table.
+
+    Rows are dealt by range and summed within each part; only the parts' totals meet in one place, so any number of
+    sources may be ordered.
+    """
+    named = {f"v_{k}": v.cast("decimal(38,0)") for k, v in sums.items()}
+    held = stash(rows.withColumns(named).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    totals = held.groupBy("part").agg(*[F.sum(v).alias(v) for v in named])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"o{v}") for v in named])
+    upto = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = held.join(offsets, "part").withColumns({k: (F.sum(f"v_{k}").over(upto) + F.col(f"ov_{k}")).cast("decimal(38,0)") for k in sums})
+    return out.select(*rows.columns, *sums)
+
+
 def cycled_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Weights for (source, ...) rows: the cycle, repeated over sources in code point order, null last."""
-    at = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), at % len(cycle) + 1).cast("long"))
+    placed = running(sources, [F.asc_nulls_last("source")], {"place": F.lit(1)})
+    at = ((F.col("place").cast("long") - 1) % len(cycle) + 1).cast("int")
+    return placed.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), at).cast("long")).drop("place")
 
 
 def targets(weighted: DataFrame, most: int = 3) -> DataFrame:
@@ -42,18 +59,21 @@ def targets(weighted: DataFrame, most: int = 3) -> DataFrame:
     The fixed point of sharing by weight, holding sources above their limit and sharing
     the excess anew.  With sources in order of limit by weight, those held are a prefix.
     """
-    limit = F.col("source_size") * most
-    order = Window.orderBy(limit / F.col("weight"), F.asc_nulls_last("source"))
-    whole = Window.partitionBy()
     big = "decimal(38,0)"
-    held_before = F.coalesce(F.sum(limit).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weight_left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(whole)
-    held = weighted.withColumn("held", limit.cast(big) * weight_left < (total - held_before).cast(big) * F.col("weight"))
-    left = F.sum("source_size").over(whole) - F.sum(F.when(F.col("held"), limit).otherwise(0)).over(whole)
-    weights = F.sum(F.when(F.col("held"), 0).otherwise(F.col("weight"))).over(whole)
-    shared = (left * F.col("weight")).cast("double") / weights
-    return held.withColumn("target", F.when(F.col("held"), limit.cast("double")).otherwise(shared))
+    limit = F.col("source_size") * most
+    order = [limit / F.col("weight"), F.asc_nulls_last("source")]
+    sums = running(weighted, order, {"limits": limit, "weights": F.col("weight")})
+    total, all_weights = sums.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, all_weights = F.lit(total or 0).cast(big), F.lit(all_weights or 0).cast(big)
+    weight_left = all_weights - F.col("weights") + F.col("weight")
+    # In whole numbers: the limit is below what the rest is worth at this weight.
+    whole = lambda c, digits: c.cast(f"decimal({digits},0)")
+    held = whole(limit, 20) * whole(weight_left, 18) < whole(total - F.col("limits") + limit, 20) * whole(F.col("weight"), 18)
+    sums = stash(sums.withColumn("held", held), "mix-held")
+    free = sums.agg(F.sum(F.when(F.col("held"), limit).otherwise(0)), F.sum(F.when(F.col("held"), 0).otherwise(F.col("weight"))), F.sum("source_size")).first()
+    left, weights = (free[2] or 0) - (free[0] or 0), free[1] or 0
+    shared = (F.lit(left).cast("long") * F.col("weight")).cast("double") / F.lit(max(1, weights))
+    return sums.drop("limits", "weights").withColumn("target", F.when(F.col("held"), limit.cast("double")).otherwise(shared))
 
 
 def thresholds(sized: DataFrame, weighting=cycled_weights, most: int = 3) -> DataFrame:
