@@ -141,17 +141,6 @@ def critical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.element_at(F.split("token", ":"), 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("n_distinct"))
 
 
-@_query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS x FROM conversations WHERE turn IN (0, 1)),
-a AS (SELECT conv_id, x, count(*) AS n FROM w WHERE turn = 0 GROUP BY ALL), b AS (SELECT conv_id, x, count(*) AS n FROM w WHERE turn = 1 GROUP BY ALL)
-SELECT c.conv_id, coalesce(sum(greatest(a.n - coalesce(b.n, 0), 0)), 0)::INTEGER AS n_lost FROM (SELECT DISTINCT conv_id FROM w) c LEFT JOIN a USING (conv_id) LEFT JOIN b ON a.conv_id = b.conv_id AND a.x = b.x GROUP BY ALL""")
-def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a conversation's first turn that its second lacks, as bags."""
-    rows = _read(spark, sf_dir, "conversations").where("turn IN (0, 1)")
-    none = F.array().cast("array<string>")
-    both = rows.groupBy("conv_id").agg(*[F.coalesce(F.max(F.when(F.col("turn") == i, F.split("text", " ", -1))), none).alias(f"w{i}") for i in (0, 1)])
-    return both.select("conv_id", F.size(T.bag_minus(F.col("w0"), F.col("w1"))).alias("n_lost"))
-
-
 @_query("""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER o AS next_role, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT conv_id, turn, text, answer FROM t WHERE role = 'user' AND next_role = 'assistant'),
 a AS (SELECT conv_id, turn, x, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS x FROM p) GROUP BY ALL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill import schema, sources, streaming
@@ -154,11 +154,12 @@ def document_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.inspect(pages, toc).join(n, "doc_id").select("doc_id", F.col("pages").alias("n_pages"), "chars", "n_spans")
 
 
-@_query("""SELECT t, i::INTEGER AS index, (i % 10)::INTEGER AS "row", (i // 10)::INTEGER AS col FROM range(0, 100) a(i), range(0, 20) b(t)""")
+@_query("""SELECT p_brand AS t, i::INTEGER AS index, (i % 10)::INTEGER AS "row", (i // 10)::INTEGER AS col FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)""")
 def grid_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables whose flat cells run down the columns while their grid runs along the rows."""
-    i = F.col("id") % 100
-    rows = spark.range(2000).select(F.floor(F.col("id") / 100).alias("t"), i.cast("int").alias("index"), (i % 10).cast("int").alias("r"), F.floor(i / 10).cast("int").alias("c"))
+    """Brands as tables whose flat cells, their parts, run down the columns while their grid runs along the rows."""
+    i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    rows = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("t"), i.alias("index"))
+    rows = rows.select("t", "index", (F.col("index") % 10).alias("r"), F.floor(F.col("index") / 10).cast("int").alias("c"))
     box = F.array(F.col("c") * 10.0, F.col("r") * 5.0, F.col("c") * 10.0 + 10, F.col("r") * 5.0 + 5)
     flat = rows.select("t", "index", box.alias("bbox"))
     slots = rows.select("t", F.col("r").alias("row"), F.col("c").alias("col"), F.transform(box, lambda x: x + 1e-6).alias("bbox"))
