@@ -4,9 +4,8 @@ Each text's statistics are transformed into a vector.  For each language, and fo
 within it, minimum-covariance-determinant estimates of centre and scatter are sought: from each
 of four starts, the nearest ``PART`` of a group's rows by Mahalanobis distance make the next
 estimate until its determinant falls no further, and the least determinant of all starts stands.
-Distances are ordered by a fine logarithmic histogram for each group, and each of its
-bins carries its rows' moments, so a step is one grouped sum over a narrow table; nothing is sorted and
-no group is gathered.  Sources lean on their language's estimate as if it were ``LEAN`` rows more.
+Distances are ordered by a fine logarithmic histogram for each group, so a step is
+two grouped sums over a narrow table; nothing is sorted and no group is gathered.  Sources lean on their language's estimate as if it were ``LEAN`` rows more.
 Vectors beyond the cut are rejected.
 
 What a language's short texts are drawn to, and below what its scatter is never taken to be, come from its medians.
@@ -202,7 +201,7 @@ def _stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _start(rows: DataFrame, floors: DataFrame) -> DataFrame:
     values = [F.col(f) for f in FEATURES]
-    middle = rows.groupBy("g").agg(*[F.percentile_approx(f, 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES)])
+    middle = stash(rows.groupBy("g").agg(*[F.percentile_approx(f, 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES)]), "mcd-middles")
     off = rows.join(middle, "g")
     far = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, f in enumerate(FEATURES)])
     scales = far.join(middle, "g").join(floors, "g")
@@ -220,16 +219,20 @@ def _start(rows: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One step: each estimate from its group's nearest rows."""
+    """One step: each estimate from its group's nearest rows, which a histogram of distances tells."""
     at = rows.join(estimates.select("g", "start", "centre", "inverse"), "g").withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-9)).cast("int"))
-    bins = at.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *_moments([F.col(f) for f in FEATURES]))
+    at = at.select("g", "start", "bin", *FEATURES)
     by = Window.partitionBy("g", "start")
+    bins = at.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
     bins = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("whole", F.sum("n").over(by))
-    near = bins.where(F.col("upto") - F.col("n") < F.col("whole") * PART)
-    names = ["n", *[f"s{i}" for i in range(_P)], *[f"s{i}_{j}" for i, j in _PAIRS]]
-    moments = near.groupBy("g", "start").agg(F.max("whole").alias("whole"), *[F.sum(c).alias(c) for c in names])
-    moments = moments.join(estimates.select("g", "start", F.col("det").alias("before"), "floors"), ["g", "start"])
-    return stash(moments.mapInPandas(_stepped, _ESTIMATE), "mcd")
+    cuts = bins.where(F.col("upto") - F.col("n") < F.col("whole") * PART).groupBy("g", "start").agg(F.max("bin").alias("cut"), F.max("whole").alias("whole"))
+    cuts = cuts.join(estimates.select("g", "start", F.col("det").alias("before"), "floors"), ["g", "start"])
+    cuts = stash(cuts, "mcd-cuts")
+    near = at.join(cuts.select("g", "start", "cut"), ["g", "start"]).where("bin <= cut")
+    moments = near.groupBy("g", "start").agg(F.count(F.lit(1)).alias("n"), *_moments([F.col(f) for f in FEATURES]))
+    out = stash(moments.join(cuts.drop("cut"), ["g", "start"]).mapInPandas(_stepped, _ESTIMATE), "mcd")
+    drop(cuts)
+    return out
 
 
 def minimum_determinants(rows: DataFrame, floors: DataFrame) -> DataFrame:
