@@ -482,3 +482,29 @@ def test_prompts_and_instructions(spark):
     bad = df.select(translate.violations(F.col("t"), F.lit("Рис. 1-1 XG-200 中"), F.lit(5))).first()[0]
     assert bad == ["residual_han", "translation_too_long"]
     assert df.select(translate.violations(F.col("t"), F.lit(" "), F.lit(5))).first()[0] == ["empty_translation"]
+
+
+def test_uploads_stream(spark, tmp_path):
+    from textmill.sources import intake
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, content in (("0123456789ab_a.pdf", b"%PDF"), ("0123456789ab_b.txt", b"x"), ("0123456789ab_c.pdf", b""), ("free.pdf", b"%PDF")):
+        (folder / name).write_bytes(content)
+    query = intake.uploads(spark, str(folder)).writeStream.format("memory").queryName("uploads_seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
+    query.awaitTermination()
+    got = spark.table("uploads_seen").collect()
+    assert [(r.job_id, r.name, bytes(r.content)) for r in got] == [("0123456789ab", "a.pdf", b"%PDF")]
+
+
+def test_translation_keeps_any_key(spark):
+    """String ids and a key of any name go through retries and come back."""
+
+    class Late:
+        def complete(self, messages):
+            items = json.loads(messages[-1]["content"])["items"]
+            return json.dumps({"items": [{"id": x["id"], "translation": x["source"]} for x in items[: len(items) - (len(items) > 1)]]})
+
+    rows = spark.createDataFrame([("f", i, "paragraph", f"text {i}") for i in ("a", "b", "9999999999999")], "file string, id string, type string, text string")
+    got = translate.translate(rows, Late(), Settings(source_lang="en", target_lang="de"), key="file").collect()
+    assert sorted((r.file, r.id, r.dst, r.ok) for r in got) == [("f", "9999999999999", "text 9999999999999", True), ("f", "a", "text a", True), ("f", "b", "text b", True)]
