@@ -209,6 +209,26 @@ def test_forest_of_similar_sets():
     assert near and all(find(i) == find(j) for i, j in near)
 
 
+def test_sketches_never_rule_out_similar_sets():
+    r = np.random.default_rng(7)
+    sets = []
+    for n in (3, 900, 1100, 4000, 4300, 17_000, 20_000):
+        base = r.integers(0, 2**62, n)
+        sets += [np.unique(np.where(r.random(n) < part, r.integers(0, 2**62, n), base)) for part in (0, 0.05, 0.1, 0.3)]
+    counts, n = similar.levels([similar.sketch(x) for x in sets]), np.array([len(x) for x in sets])
+    both = similar.overlaps(sets)
+    ruled_out = 0
+    for i in range(len(sets)):
+        near = np.array([j for j in range(len(sets)) if j != i])
+        for sketches, has in counts:
+            if has[i]:
+                near = np.union1d(near[~has[near]], similar.bounds(sketches, n, i, near[has[near]], 0.8))
+        alike = [j for j in range(len(sets)) if j != i and both[i, j] >= 0.8 * (n[i] + n[j] - both[i, j])]
+        assert set(alike) <= set(near)
+        ruled_out += len(sets) - 1 - len(near)
+    assert ruled_out > 0.8 * len(sets) ** 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, x) for x in range(501, 540)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
