@@ -188,6 +188,28 @@ def test_near_dedup_catches_similar_texts(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_near_dedup_meets_texts_by_size(spark, monkeypatch):
+    """Pairs at a similarity of just 0.8 meet at any size; texts that share a passage but are of sizes far apart make no tile."""
+    held = []
+    tiles = similar._tiles
+    monkeypatch.setattr(similar, "_tiles", lambda members, heads: held.append(members.count()) or tiles(members, heads))
+    monkeypatch.setattr(simhash, "links", lambda points, *_: points.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("false"))
+    rows, gone = [], []
+    for k in range(1, 60):
+        words, others = ([f"{kind}{k}w{i}" for i in range(5 * k + 5)] for kind in "ab")
+        rows += [(10 * k, " ".join(words[:-1])), (10 * k + 1, " ".join(words[: 4 * k + 4]))]
+        rows += [(10 * k + 2, " ".join(others)), (10 * k + 3, " ".join(others[: 4 * k + 4]))]  # 4k of 5k + 1 shingles
+        gone.append(10 * k + 1)
+    got = simhash.keep_first(docs(spark, rows), similarity=0.8)
+    assert {i for i, _ in rows} - {r.doc_id for r in got.collect()} == set(gone)
+    assert sum(held) > 0
+    held.clear()
+    passage = " ".join(f"shared{i}" for i in range(8))
+    rows = [(n, passage + " " + " ".join(f"n{n}w{i}" for i in range(3**n))) for n in range(3, 7)]
+    assert simhash.keep_first(docs(spark, rows), similarity=0.8).count() == len(rows)
+    assert sum(held) == 0
+
+
 def test_forest_of_similar_sets():
     r = np.random.default_rng(6)
     base = [np.unique(r.integers(0, 2**40, 300)) for _ in range(4)]

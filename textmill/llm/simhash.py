@@ -190,6 +190,8 @@ def links(points: DataFrame, most: int = 3, crowded: int = CROWDED) -> DataFrame
         counted = stash(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cell-counts")
         big = counted.where(F.col("n") > crowded).select("cell")
         more = split < SPLITS and not big.isEmpty()
+        # Most cells hold one point; they are left out before any point is shuffled.
+        cells = present(cells, "cell", stash(bitmap(counted, "cell"), "cell-bits"))
         direct = cells.join(counted.where(F.col("n") <= crowded) if more else counted, "cell").select("cell", "fp")
         found = direct.repartition("cell").sortWithinPartitions("cell").mapInPandas(_cell_links(most), "u long, v long")
         out = found if out is None else out.unionAll(found)
