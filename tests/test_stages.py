@@ -96,3 +96,21 @@ def test_configuration(tmp_path):
     (tmp_path / "d.yaml").write_text("a: [")
     with pytest.raises(Exception):  # noqa: B017  which one depends on the reader
         config.load(str(tmp_path / "d.yaml"))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from textmill.scratch import CLEANUP, stash
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, set_ = shuffled(), spark.conf.get(CLEANUP)
+    rows = stash(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "rows")
+    until = time.time() + 20  # they are deleted in the background
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and rows.count() == 10
+    assert spark.conf.get(CLEANUP) == set_

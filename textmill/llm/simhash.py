@@ -254,11 +254,12 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle: int = 5,
     met = stash(links(first.select("fp"), most, crowded), "print-links")
     across = met.join(first.toDF("u", "fu"), "u").join(first.toDF("v", "fv"), "v").select(F.least("fu", "fv").alias("u"), F.greatest("fu", "fv").alias("v"))
     likely = same.unionAll(across).where("u <> v").distinct()
-    near = similar.links(rows, told.select(UID, "digest", "n", "sketch", "prefix"), similarity, shingle, likely)
+    digests = stash(told.select(UID, "digest"), "digests")
+    near = similar.links(rows, told.select(UID, "digest", "n", "sketch", "prefix"), similarity, shingle, likely, spent=told)
     rooted = stash(components(near), "set-roots")
-    out = told.select(UID, "digest").join(rooted.withColumnRenamed("node", "digest"), "digest", "left")
+    out = digests.join(rooted.withColumnRenamed("node", "digest"), "digest", "left")
     out = stash(out.select(UID, F.coalesce("root", "digest").alias("root")), "row-roots")
-    for t in (told, named, met, rooted):
+    for t in (digests, named, met, rooted):
         drop(t)
     return out
 
