@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textmill import schema, sources, streaming
@@ -508,3 +509,15 @@ def test_translation_keeps_any_key(spark):
     rows = spark.createDataFrame([("f", i, "paragraph", f"text {i}") for i in ("a", "b", "9999999999999")], "file string, id string, type string, text string")
     got = translate.translate(rows, Late(), Settings(source_lang="en", target_lang="de"), key="file").collect()
     assert sorted((r.file, r.id, r.dst, r.ok) for r in got) == [("f", "9999999999999", "text 9999999999999", True), ("f", "a", "text a", True), ("f", "b", "text b", True)]
+
+
+def _plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_and_cells_are_never_paired_as_rows(spark):
+    boxes = spark.range(3).selectExpr("0 AS page", "id AS box_id", "array(id * 10.0D, 0D, id * 10.0D + 5, 5D) AS bbox")
+    cells = spark.range(2).selectExpr("0 AS page", "0 AS table_idx", "array(0D, 0D, 20D, 10D) AS table_bbox", "id AS cell_pos", "id AS cell_idx", "0 AS row", "id AS col", "array(id * 10.0D, 0D, id * 10.0D + 8, 8D) AS cell_bbox")
+    got = spatial.locate(boxes, cells, ["page"])
+    assert [r[:] for r in got.orderBy("box_id").select("table_idx", "cell_idx").collect()] == [(0, 0), (0, 1), (None, None)]
+    assert "SortAggregate" not in _plan_of(got) and _plan_of(got).count("Join") == 1
