@@ -521,3 +521,13 @@ def test_boxes_and_cells_are_never_paired_as_rows(spark):
     got = spatial.locate(boxes, cells, ["page"])
     assert [r[:] for r in got.orderBy("box_id").select("table_idx", "cell_idx").collect()] == [(0, 0), (0, 1), (None, None)]
     assert "SortAggregate" not in _plan_of(got) and _plan_of(got).count("Join") == 1
+
+
+def test_segments_hold_no_table_in_the_driver(spark, tmp_path):
+    from textmill import sources
+
+    page = '{"toc": [["1", "a", "1"]], "pages": [{"page": 0, "rect": [0, 0, 9, 9], "blocks": []}]}'
+    spark.createDataFrame([(1, page)], "doc_id long, parse string").write.parquet(str(tmp_path / "t"))
+    pages, toc = sources.parse_json_column(spark.read.parquet(str(tmp_path / "t")))
+    told = _plan_of(segment.segments(pages, toc))
+    assert "Broadcast" not in told and told.count("FileScan") == 2

@@ -67,7 +67,8 @@ def merge_same_cell(parts: DataFrame) -> DataFrame:
 
 def merge_close(blocks: DataFrame) -> DataFrame:
     """Joins blocks that continue the one before them on its line; a fold over each page's blocks."""
-    item = F.struct("at", "bbox", "table_idx", "cell_idx", (F.size("lines") > 0).alias("full"))
+    held = ("at", "bbox", "table_idx", "cell_idx", "row", "col", "cell_bbox", "lines")
+    item = F.struct(*held, (F.size("lines") > 0).alias("full"))
     pages = blocks.groupBy(*DOC_PAGE).agg(F.sort_array(F.collect_list(item)).alias("items"))
     state = "struct<n: int, bbox: array<double>, table_idx: int, cell_idx: int, full: boolean>"
     none = F.lit(None)
@@ -86,8 +87,8 @@ def merge_close(blocks: DataFrame) -> DataFrame:
         return F.when(F.coalesce(joins, F.lit(False)), old).otherwise(new)
 
     groups = pages.withColumn("n", F.transform(running(F.col("items"), zero, step, state), lambda s: s["n"]))
-    numbered = groups.select(*DOC_PAGE, F.explode(F.arrays_zip(F.transform("items", lambda i: i["at"]).alias("at"), "n")).alias("z")).select(*DOC_PAGE, "z.at", "z.n")
-    met = blocks.join(numbered, [*DOC_PAGE, "at"])
+    # Blocks are told their numbers within their page's row, which held them all from the first, so they meet in no join.
+    met = groups.select(*DOC_PAGE, F.explode(F.arrays_zip("items", "n")).alias("z")).select(*DOC_PAGE, "z.n", *[F.col(f"z.items.{c}").alias(c) for c in held])
     first = lambda c: F.min_by(c, "at").alias(c)
     merged = met.groupBy(*DOC_PAGE, "n").agg(*[first(c) for c in ("table_idx", "cell_idx", "row", "col", "cell_bbox")], G.union_agg("bbox").alias("bbox"), F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("all"))
     return merged.withColumn("lines", F.flatten(F.transform("all", lambda x: x["lines"]))).drop("all")
@@ -118,7 +119,8 @@ def typed(rows: DataFrame, toc: DataFrame | None, s: Settings) -> DataFrame:
     """Adds type and section (the section that a heading opens, else null) to rows with text and cell columns."""
     body = T.strip(F.col("text"))
     if toc is not None:
-        rows = rows.withColumn("toc_key", T.squash(body)).join(toc_index(toc), ["doc_id", "toc_key"], "left").drop("toc_key")
+        # The planner would guess the size of contents from their file's, and hold those of a large table in the driver.
+        rows = rows.withColumn("toc_key", T.squash(body)).join(toc_index(toc).hint("merge"), ["doc_id", "toc_key"], "left").drop("toc_key")
         told = T.classify(body, F.col("toc_title"), s)
     else:
         told = T.classify(body, None, s)

@@ -85,7 +85,7 @@ def segment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = F.struct(_rect(40, 100, 240, 160).alias("bbox"), cells.alias("cells"))
     page = F.struct(F.lit(0).alias("page"), _rect(0, 0, 595, 842).alias("rect"), F.array(*blocks).alias("blocks"), F.array(table).alias("tables"))
     toc = F.array(F.array(F.lit("1"), F.concat(F.lit(" "), F.replace(F.col("p_name"), F.lit(" "), F.lit("  "))), F.lit("1")))
-    parsed = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.to_json(F.struct(toc.alias("toc"), F.array(page).alias("pages"))).alias("parse"))
+    parsed = batching.spread(_read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.to_json(F.struct(toc.alias("toc"), F.array(page).alias("pages"))).alias("parse"))
     pages, contents = sources.parse_json_column(parsed)
     return segment.segments(pages, contents, EN).select("doc_id", "id", "type", "row", "col", "text")
 
@@ -282,7 +282,8 @@ def layout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.array(F.lit(50.0), y, 50.0 + F.col("p_size") * 4, y + 12)
     kind = F.element_at(F.array(*map(F.lit, ("paragraph", "heading", "caption_fig", "listItem"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     none = F.lit(None)
-    rows = _read(spark, sf_dir, "part").where("p_size > 0").select(F.col("p_brand").alias("doc_id"), F.floor(F.col("p_partkey") / 20).cast("int").alias("page"), F.col("p_partkey").alias("id"), kind.alias("type"), box.alias("bbox"), none.cast("array<double>").alias("layout_bbox"), F.lit(10.0).alias("size"), F.lit("Body").alias("font"), none.cast("int").alias("table_idx"), none.cast("int").alias("row"), F.col("p_name").alias("text"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("ru"))
+    parts = batching.spread(_read(spark, sf_dir, "part").where("p_size > 0"), "p_brand", F.floor(F.col("p_partkey") / 20))
+    rows = parts.select(F.col("p_brand").alias("doc_id"), F.floor(F.col("p_partkey") / 20).cast("int").alias("page"), F.col("p_partkey").alias("id"), kind.alias("type"), box.alias("bbox"), none.cast("array<double>").alias("layout_bbox"), F.lit(10.0).alias("size"), F.lit("Body").alias("font"), none.cast("int").alias("table_idx"), none.cast("int").alias("row"), F.col("p_name").alias("text"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("ru"))
     settings = Settings(source_lang="en", target_lang="de", overflow_policy="appendix", group_max_shrink=0.0)
     told = layout.report(layout.plan(rows, settings), settings)
     ids = F.array_join(F.transform("overflow", lambda x: x["id"].cast("string")), ",")
@@ -422,7 +423,7 @@ def painted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, middle = F.repeat(edge, 40), F.concat(F.repeat(edge, 10), F.lit("FFFFFF7F" * 20), F.repeat(edge, 10))
     raw = F.unhex(F.concat(F.repeat(line, 10), F.repeat(middle, 20), F.repeat(line, 10)))
     region = F.struct(F.array(*[F.lit(float(x)) for x in (250, 250, 750, 750)]).alias("bbox"), F.lit("a").alias("source_text"), F.lit("").alias("translation"), F.when(F.col("p_size") % 2 == 0, 0.9).otherwise(0.1).alias("confidence"))
-    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), paint.to_rgb(raw, F.lit(40), F.lit(40), F.lit(4)).alias("raw"), F.lit(40).alias("width"), F.lit(40).alias("height"), region.alias("region"))
+    rows = batching.spread(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("key"), paint.to_rgb(raw, F.lit(40), F.lit(40), F.lit(4)).alias("raw"), F.lit(40).alias("width"), F.lit(40).alias("height"), region.alias("region"))
     done = paint.paint_regions(vision.overlay_plan(rows), paint.Bars())
     return done.select(F.col("key").alias("p_partkey"), F.sha2("raw", 256).alias("digest"), "processed")
 
