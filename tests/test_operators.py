@@ -531,3 +531,12 @@ def test_segments_hold_no_table_in_the_driver(spark, tmp_path):
     pages, toc = sources.parse_json_column(spark.read.parquet(str(tmp_path / "t")))
     told = _plan_of(segment.segments(pages, toc))
     assert "Broadcast" not in told and told.count("FileScan") == 2
+
+
+def test_images_are_painted_without_a_table_for_each(spark):
+    from textmill.operators import paint
+
+    rows = spark.sql("SELECT 1 AS key, unhex(repeat('000000', 16)) AS raw, 4 AS width, 4 AS height, named_struct('translation', '') AS region, array(1, 1, 3, 3) AS pixels, id = 0 AS painted FROM range(2)")
+    got = paint.paint_regions(rows, paint.Bars())
+    assert got.select("processed", "skipped", "modified").collect()[0][:] == (1, 1, True)
+    assert "FlatMapGroups" not in _plan_of(got)

@@ -109,18 +109,23 @@ def paint_regions(planned: DataFrame, painter: Painter, padding: int = 3) -> Dat
     rows = planned.withColumn("ground", ground).withColumn("colour", G.foreground(F.col("ground")))
     rows = rows.select("key", "raw", "width", "height", F.col("region.translation").alias("text"), "pixels", "painted", "ground", "colour")
 
-    def drawn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        image = np.frombuffer(bytes(first["raw"]), np.uint8).reshape(int(first["height"]), int(first["width"]), 3).copy()
-        todo = pdf[pdf["painted"]]
-        for r in sorted(todo.to_dict("records"), key=lambda r: (r["pixels"][1], r["pixels"][0], r["text"])):
-            x0, y0, x1, y1 = map(int, r["pixels"])
-            image[y0:y1, x0:x1] = list(r["ground"])
-            painter.draw(image, (x0 + padding, y0 + padding, x1 - padding, y1 - padding), r["text"], tuple(r["colour"]))
-        return pd.DataFrame({"key": [key[0]], "raw": [image.tobytes()], "processed": [len(todo)], "skipped": [len(pdf) - len(todo)], "modified": [len(todo) > 0]})
-
-    kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").applyInPandas(drawn, f"key {kind}, raw binary, processed int, skipped int, modified boolean")
+    @F.pandas_udf("binary")
+    def drawn(images: pd.Series, widths: pd.Series, heights: pd.Series, regions: pd.Series) -> pd.Series:
+        out = []
+        for raw, w, h, todo in zip(images, widths, heights, regions, strict=True):
+            image = np.frombuffer(bytes(raw), np.uint8).reshape(int(h), int(w), 3).copy()
+            for r in sorted(todo, key=lambda r: (r["pixels"][1], r["pixels"][0], r["text"])):
+                x0, y0, x1, y1 = map(int, r["pixels"])
+                image[y0:y1, x0:x1] = list(r["ground"])
+                painter.draw(image, (x0 + padding, y0 + padding, x1 - padding, y1 - padding), r["text"], tuple(r["colour"]))
+            out.append(image.tobytes())
+        return pd.Series(out, dtype=object)
+
+    # Images are grouped in the JVM: handing each to Python as a table of its own costs more than to paint it.
+    region = F.when(F.col("painted"), F.struct("text", "pixels", "ground", "colour"))
+    many, todo = F.col("many"), F.size("todo")
+    images = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("raw", "width", "height")], F.collect_list(region).alias("todo"), F.count(F.lit(1)).cast("int").alias("many"))
+    return images.select("key", drawn("raw", "width", "height", "todo").alias("raw"), todo.alias("processed"), (many - todo).alias("skipped"), (todo > 0).alias("modified"))
 
 
 def disposition(name: Column, inline: Column) -> Column:
