@@ -540,3 +540,14 @@ def test_images_are_painted_without_a_table_for_each(spark):
     got = paint.paint_regions(rows, paint.Bars())
     assert got.select("processed", "skipped", "modified").collect()[0][:] == (1, 1, True)
     assert "FlatMapGroups" not in _plan_of(got)
+
+
+@pytest.mark.parametrize("name", ["painted_images", "region_answers", "layout_counts", "layout_report", "segment_tables"])
+def test_rows_of_a_small_file_are_dealt_out(spark, monkeypatch, name):
+    from textmill import plans
+
+    dealt = []
+    monkeypatch.setattr(batching, "spread", lambda rows, *keys, f=batching.spread: dealt.append(f(rows, *keys)) or dealt[-1])
+    plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(dealt) == 1
+    assert batching.spread(spark.range(20000), "id").rdd.getNumPartitions() == 3
