@@ -551,3 +551,11 @@ def test_rows_of_a_small_file_are_dealt_out(spark, monkeypatch, name):
     plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(dealt) == 1
     assert batching.spread(spark.range(20000), "id").rdd.getNumPartitions() == 3
+
+
+def test_texts_are_fitted_once_however_often_sizes_are_drawn_together(spark):
+    from textmill.plans import reports
+
+    rows = reports._laid(spark, "/root/testdata/sf0.001")
+    told = _plan_of(layout.plan(rows, Settings(source_lang="en", target_lang="de")))
+    assert "planned-" in told and "part.parquet" not in told
