@@ -559,3 +559,9 @@ def test_texts_are_fitted_once_however_often_sizes_are_drawn_together(spark):
     rows = reports._laid(spark, "/root/testdata/sf0.001")
     told = _plan_of(layout.plan(rows, Settings(source_lang="en", target_lang="de")))
     assert "planned-" in told and "part.parquet" not in told
+
+
+def test_tasks_grow_slower_than_quick_requests():
+    assert [translate.tasks(n) for n in (0, 1, 32, 33, 64 * 32)] == [1, 1, 1, 2, 64]
+    assert 64 <= translate.tasks(64 * 32 + 1) and translate.tasks(1_200_000) < 2_000
+    assert translate.tasks(7_200_000) > 2 * translate.tasks(1_200_000)

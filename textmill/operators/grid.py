@@ -14,7 +14,7 @@ from textmill.config import HAN_COMPAT
 from textmill.functions import text as T
 from textmill.functions.jsonio import json_array
 from textmill.operators.batching import chunks
-from textmill.operators.translate import CALLS, Backend
+from textmill.operators.translate import Backend, tasks
 from textmill.scratch import stash
 
 BATCH = 64
@@ -84,14 +84,14 @@ def translate_cells(grid: DataFrame, backend: Backend, workers: int = 1, size: i
     unique = chunks(unique_texts(cells), ["file", "line", "col"], size)
     asked = unique.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("file", "line", "col", "value"))), lambda x: x["value"]).alias("texts"))
     asked = stash(asked, "grid-asked")
-    said = stash(asked.repartition(max(1, -(-asked.count() // CALLS))).mapInPandas(_batches(backend, workers), "chunk int, texts array<string>, response string"), "grid-batches")
+    said = stash(asked.repartition(tasks(asked.count())).mapInPandas(_batches(backend, workers), "chunk int, texts array<string>, response string"), "grid-batches")
     items = F.from_json(json_array(F.col("response")), "array<string>")
     pairs = said.withColumn("items", items).select(F.explode(F.arrays_zip("texts", F.when(F.size("items") == F.size("texts"), F.col("items")).otherwise(F.transform("texts", lambda _: F.lit(None).cast("string"))).alias("said"))).alias("z"))
     pairs = pairs.select(F.col("z.texts").alias("value"), F.col("z.said").alias("said"))
     first = pairs.withColumn("target", T.clean_cell(F.col("said"), F.col("value")))
     good = F.col("said").isNotNull() & ~F.col("target").rlike(f"[{HAN_COMPAT}]")
     rest = stash(first.where(~good).select("value"), "grid-rest")
-    rest = rest.repartition(max(1, -(-rest.count() // CALLS))).mapInPandas(_singles(backend, workers), "value string, said string")
+    rest = rest.repartition(tasks(rest.count())).mapInPandas(_singles(backend, workers), "value string, said string")
     rest = stash(rest, "grid-singles").select("value", T.clean_cell(F.col("said"), F.col("value")).alias("target"))
     found = first.where(good).select("value", "target").unionByName(rest)
     return grid.join(found, "value", "left").select("file", "line", "col", F.coalesce("target", "value").alias("value"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from math import isqrt
 from typing import Protocol
 
 import pandas as pd
@@ -144,14 +145,20 @@ def requests(records: DataFrame, s: Settings, terms: list[tuple[str, str]], key:
     return batches.select(key, "batch", F.to_json(payload).alias("request"))
 
 
-#: Requests that one task sends; a lost executor costs those of its tasks.
-CALLS = 32
+#: Requests that one task sends, while there are no more than ``FEW`` such tasks; a lost executor costs those of its tasks.
+CALLS, FEW = 32, 64
+
+
+def tasks(many: int) -> int:
+    """How many tasks send so many requests: one for each ``CALLS``, beyond ``FEW`` as the root of that, as starting a task costs more than quick calls."""
+    parts = max(1, -(-many // CALLS))
+    return parts if parts <= FEW else isqrt(FEW * parts)
 
 
 def call(asked: DataFrame, backend: Backend, system: str, workers: int, many: int) -> DataFrame:
     """Adds response and error to ``many`` rows with ``request``.
 
-    A task sends about ``CALLS`` requests, ``workers`` of them at one time: the tasks grow with the rows, the calls at
+    A task sends its requests ``workers`` at one time: the tasks grow with the rows (``tasks``), the calls at
     one time are bounded by the executors' slots and ``workers``.
     """
 
@@ -169,7 +176,7 @@ def call(asked: DataFrame, backend: Backend, system: str, workers: int, many: in
                 yield pdf.assign(response=[r for r, _ in told], error=[e for _, e in told])
 
     schema = ", ".join(f"{n} {t}" for n, t in asked.dtypes) + ", response string, error string"
-    return stash(asked.repartition(max(1, -(-many // CALLS))).mapInPandas(answered, schema), "answers")
+    return stash(asked.repartition(tasks(many)).mapInPandas(answered, schema), "answers")
 
 
 def parse_items(response: Column) -> Column:
